@@ -50,6 +50,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of saved() that nothing will read again."""
+    for df in tables:
+        if found := _PATHS.pop(id(df), None):
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(found[1])
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -57,7 +69,9 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()  # shuffle files of plans that nothing refers to any more go when the JVM notices
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, sliced, strings, texts
+from quern.llm.common import dropped, saved, sliced, strings, texts
 from quern.llm.neardup import mix
 
 LENGTH, GRAM = 50, 16
@@ -250,11 +250,13 @@ def without_repeats(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows = texts(df).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("id"), F.md5("text").alias("md5"), "text")
     anchors = saved(shared_anchors(rows), "anchors")
-    parts = saved(segments(rows.dropDuplicates(["doc", "md5"]) if _repeats(rows) else rows, anchors), "segments")
+    parts = segments(rows.dropDuplicates(["doc", "md5"]) if _repeats(rows) else rows, anchors)
     spans = saved(repeats(parts), "repeats")
+    dropped(anchors)
     firsts = rows.groupBy("md5").agg(F.min("doc").alias("first"), F.min("id").alias("first_id"))
     gathered = spans.groupBy(F.col("doc").alias("first"), F.col("id").alias("first_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     plan = saved(firsts.join(gathered, ["first", "first_id"], "left").select("md5", "first", "spans"), "plan")
+    dropped(spans)
 
     def apply(batches):
         for b in sliced(batches, "text"):
