@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, sliced, strings, texts
+from quern.llm.common import dropped, saved, sliced, strings, texts
 
 WORD = re.compile(r"[^\W_]+")
 WORDS, SIMILARITY = 5, 0.8
-TABLES, MINIMA = 16, 3
+TABLES, MINIMA = 8, 2
 BINS, SMALL, SALTED = 64, 24, 512
 #: Most words whose hashes a worker remembers.
 REMEMBERED = 500_000
@@ -229,9 +229,10 @@ def identified(df: DataFrame) -> DataFrame:
 def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a < b and similarity of the links between different texts; own: the sketches of df."""
     distinct = own.groupBy("id").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("keys").alias("keys"))
-    members = distinct.select("id", "n", "hist", F.explode("keys").alias("key"))
-    large = members.groupBy("key").count().filter(F.col("count") > SALTED).select("key", F.ceil(F.col("count") / SALTED).cast("int").alias("parts"))
-    salted = members.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    bands = saved(distinct.select("id", F.explode("keys").alias("key")), "bands")
+    shared = bands.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / SALTED).cast("int").alias("parts"))
+    met = bands.join(shared, "key")  # few rows are left, and only they take their histograms along
+    salted = met.join(own.groupBy("id").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "id")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     first = saved(candidates(salted, least, True), "candidates")
     leaders = first.filter("b is null").select("key", F.lit(0).alias("salt"), F.lit(1).alias("parts"), F.col("a").alias("id"), "n", "hist")
@@ -239,8 +240,10 @@ def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame
     if not leaders.isEmpty():
         pairs = pairs.union(candidates(leaders, least, False).select("a", "b"))
     pairs = saved(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = saved(identified(df).select("id", "text").join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    dropped(bands, first)
+    asked = saved(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
+    likely = maybe_among(identified(df).select("id", "text"), asked)
+    held = saved(likely.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -250,7 +253,21 @@ def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame
             keep = pa.array([x >= least for x in s])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
-    return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double"), "links")
+    out = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double"), "links")
+    dropped(pairs, asked, held)
+    return out
+
+
+def maybe_among(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose id may be among those asked for: a bit for each of 2^23 hashes of an id, in pieces that are 1 MB together,
+    spares the others the way to a join."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
+    bits = asked.select(place.alias("p")).selectExpr("bitmap_bucket_number(p) as piece", "bitmap_bit_position(p) as bit")
+    pieces = bits.groupBy("piece").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    own = rows.withColumn("p", place).withColumn("piece", F.expr("bitmap_bucket_number(p)")).withColumn("bit", F.expr("bitmap_bit_position(p)"))
+    own = own.join(F.broadcast(pieces), "piece")  # 256 pieces of 4 KB
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 as int)") + 1, F.lit(1))), 16, 10).cast("long")
+    return own.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +284,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = saved(small, "stars")
+        before, now = now, saved(small, "stars")
+        dropped(before)
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if sign == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
