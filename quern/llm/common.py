@@ -65,10 +65,10 @@ def dropped(*tables: DataFrame) -> None:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    gc.collect()  # shuffle files of earlier plans, which nothing refers to any more, go when the JVM notices
+    spark.sparkContext._jvm.System.gc()
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    gc.collect()  # shuffle files of plans that nothing refers to any more go when the JVM notices
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
     return out
