@@ -51,6 +51,7 @@ def signs(width: int, tables: int, seed: int) -> np.ndarray:
 def probes(x: np.ndarray, count: int, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
     """The `count` nearest signed axes of each row in each table, nearest first: axis 2i is +i, 2i + 1 is -i."""
     width = x.shape[1]
+    count = min(count, 2 * width)
     out = np.empty((len(x), tables, count), np.int64)
     for t, rounds in enumerate(signs(width, tables, seed)):
         y = x
@@ -151,7 +152,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.filter(is_query)
     own = _tabled(hashed(rows, size.width, size.longest, 1, False), 1)
-    probing = _tabled(hashed(asked, size.width, size.longest, PROBES, True), PROBES)
+    probing = _tabled(hashed(asked, size.width, size.longest, PROBES, True), min(PROBES, 2 << size.width.bit_length()))
     # a row for each bucket of each table: at most TABLES * 4 * width
     held = own.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c_parts"))
     sought = probing.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))

@@ -33,6 +33,7 @@ HIDDEN = frozenset("script style title head noscript template svg math iframe ob
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var ins del wbr img input br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SECTIONS = frozenset("form nav aside footer header section article main".split())
 SCOPE = frozenset("ul ol dl table td th body html article div section".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.DOTALL)
@@ -152,14 +153,14 @@ def features(tree: list[Block]) -> list[tuple[str, ...]]:
 @dataclass
 class TreeModel:
     weight: dict[str, float]
-    #: Log potentials of (parent's label, own label), and those that a named element has besides.
+    #: Log potentials of (parent's label, own label), and those that a kind of element has besides.
     edge: list[list[float]]
-    named: list[list[float]]
+    kinds: dict[str, list[list[float]]]
 
     def potentials(self, tree: list[Block], own: list[tuple[str, ...]]) -> tuple[list[float], list[list[list[float]]]]:
         get = self.weight.get
-        both = [[self.edge[p][c] + self.named[p][c] for c in (0, 1)] for p in (0, 1)]
-        return [sum([get(f, 0.0) for f in fs]) for fs in own], [both if b.names else self.edge for b in tree]
+        both = {k: [[self.edge[p][c] + e[p][c] for c in (0, 1)] for p in (0, 1)] for k, e in self.kinds.items()}
+        return [sum([get(f, 0.0) for f in fs]) for fs in own], [both.get(kind(b), self.edge) for b in tree]
 
     def marginals(self, tree: list[Block], own: list[tuple[str, ...]]) -> tuple[list[float], list[list[float]]]:
         """P(content) of every block, and P(parent's label, own label) as [00, 01, 10, 11]."""
@@ -192,6 +193,11 @@ class TreeModel:
         return content, pair
 
 
+def kind(b: Block) -> str:
+    """Elements whose label tells less about their parent's: those with a name, and sections of a page."""
+    return "named" if b.names else b.tag if b.tag in SECTIONS else ""
+
+
 def _lse(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
@@ -200,14 +206,14 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def train(pages: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> TreeModel:
+def train(pages: list[str], rounds: int = 80, rate: float = 0.6, decay: float = 2e-4) -> TreeModel:
     """Weights by gradient steps on the likelihood of the labels (data-label attributes; what has none inherits)."""
-    model = TreeModel({}, [[0.5, -0.5], [-0.5, 0.5]], [[0.0, 0.0], [0.0, 0.0]])
+    model = TreeModel({}, [[0.5, -0.5], [-0.5, 0.5]], {})
     trees = [(t, features(t)) for t in map(blocks, pages)]
-    size: dict[str, float] = defaultdict(float)
+    size: dict = defaultdict(float)
     for _ in range(rounds):
         slope: dict[str, float] = defaultdict(float)
-        edge, named = [0.0] * 4, [0.0] * 4
+        edges: dict[tuple[str, int], float] = defaultdict(float)
         for tree, own in trees:
             content, pair = model.marginals(tree, own)
             for i, (b, fs) in enumerate(zip(tree, own, strict=True)):
@@ -217,15 +223,16 @@ def train(pages: list[str], rounds: int = 60, rate: float = 0.5, decay: float =
                     seen = 2 * (tree[b.parent].label or 0) + (b.label or 0)
                     for k in range(4):
                         d = (k == seen) - pair[i][k]
-                        edge[k] += d
-                        named[k] += d * bool(b.names)
-        for key, g in [*slope.items(), *((("e", k), g) for k, g in enumerate(edge)), *((("n", k), g) for k, g in enumerate(named))]:
+                        edges["", k] += d
+                        if name := kind(b):
+                            edges[name, k] += d
+        for key, g in [*slope.items(), *edges.items()]:
             size[key] += g * g  # steps shrink with what a weight has moved already
             step = rate * g / (1e-6 + math.sqrt(size[key]))
             if isinstance(key, str):
                 model.weight[key] = (1 - decay) * model.weight.get(key, 0.0) + step
             else:
-                where = model.edge if key[0] == "e" else model.named
+                where = model.kinds.setdefault(key[0], [[0.0, 0.0], [0.0, 0.0]]) if key[0] else model.edge
                 where[key[1] // 2][key[1] % 2] += step
     return model
 

@@ -5,7 +5,7 @@ the other, composed into a single machine: the target transducer marks insults a
 negation transducer those that a negation precedes, the report transducer those that the clause attributes to a speaker. What
 comes out is counted by kind, clause by clause, and a logistic model over the matched clauses of a text weighs the kinds.
 
-The insult lexicon (words, and beginnings of words for languages that inflect or compound) and the weights are learned from
+The insult lexicon (beginnings of words, whole words among them, as languages inflect and compound) and the weights are learned from
 labelled rows; threats, targets, negations and reports are closed classes, listed below. Insults that a clause negates or
 reports, and threats, start from a prior and move as far as the labels say.
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quern.llm.common import sliced, strings, texts
 
@@ -38,9 +39,10 @@ WORD = re.compile(r"[^\W\d_]+")
 BREAK = re.compile(r"[.!?;:\n]")
 #: Rows to learn from, at most: the labelled documents with the smallest hashes of doc_id.
 SAMPLE = 8_000
-#: A word or beginning enters the lexicon with this many toxic texts, this share of all of them, and this many times more there.
-SUPPORT, SHARE, RATIO = 5, 0.02, 200.0
-LENGTHS = range(4, 9)
+#: A beginning enters the lexicon with this many occurrences in toxic texts, this likelihood ratio statistic, and this many times
+#: the rate that it has in other texts; at most so many enter.
+SUPPORT, EVIDENCE, RATIO, ENTRIES = 6, 40.0, 6.0, 200
+LENGTHS = range(3, 13)
 REACH = 4  #: words over which a target or a negation acts
 
 
@@ -95,24 +97,22 @@ def grammar() -> Transducer:
 
 #: Kinds that a clause counts; a threat without a target counts for nothing.
 KINDS = "IJUnr"
-#: Weights before any label is seen, of the logarithm of one more than the summed lexicon weight of a kind.
-PRIOR = np.array([3.0, 3.5, 3.0, 0.5, 0.5])
+#: Weights before any label is seen, of the logarithm of one more than: the summed lexicon weight of each kind, that of all
+#: kinds, and the latter by 1,000 characters.
+PRIOR = np.array([0.5, 1.0, 0.5, -0.5, -0.5, 2.0, 1.0])
 
 
 class Matcher:
     """Finds the clauses that hold an insult or a threat, and runs the machine over them."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, stems: dict[str, float]):
+        self.stems = stems
         self.machine = grammar()
-        whole = "|".join(map(re.escape, sorted({*words, *THREATS})))
-        begun = "".join(f"|{re.escape(s)}" for s in sorted(stems))
-        self.seek = re.compile(rf"\b(?:(?:{whole})\b{begun})" if whole else r"(?!)")
+        begun = "|".join(map(re.escape, sorted(stems, key=len, reverse=True)))
+        self.seek = re.compile(rf"\b(?:(?:{'|'.join(sorted(THREATS))})\b{'|' if begun else ''}{begun})")
 
     def weight(self, word: str) -> float:
-        if word in self.words:
-            return self.words[word]
-        return max((self.stems.get(word[:k], 0.0) for k in LENGTHS if len(word) >= k), default=0.0)
+        return next((v for k in reversed(LENGTHS) if len(word) >= k and (v := self.stems.get(word[:k]))), 0.0)
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
@@ -132,12 +132,13 @@ class Matcher:
                 if (k := KINDS.find(out)) >= 0:
                     own[k] += v or 1.0
             total = [a + b for a, b in zip(total, own, strict=True)]
-        return [math.log1p(x) for x in total]
+        found = sum(total)
+        density = 1000.0 * found / (len(low) + 200) if found else 0.0
+        return [*(math.log1p(x) for x in total), math.log1p(found), math.log1p(density)]
 
 
 @dataclass(frozen=True)
 class Model:
-    words: dict[str, float]
     stems: dict[str, float]
     bias: float
     weights: tuple[float, ...]
@@ -146,55 +147,79 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + rows @ np.array(self.weights))))
 
 
-def lexicon(docs: list[str], toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings that toxic texts have and others hardly ever do, with the logarithm of that ratio over its floor."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    counts = {False: (Counter(), Counter()), True: (Counter(), Counter())}
-    for text, t in zip(docs, toxic, strict=True):
-        words = set(WORD.findall(text.lower()))
-        counts[bool(t)][0].update(words)
-        counts[bool(t)][1].update({w[:k] for w in words for k in LENGTHS if len(w) >= k})
-    need = max(SUPPORT, SHARE * n1)
-    # without clean texts that hold it, the ratio is limited by how many there are
-    floor = min(RATIO, 0.5 * (n0 + 1))
-
-    def strong(bad: Counter, good: Counter) -> dict[str, float]:
-        out = {}
-        for w, a in bad.items():
-            if a >= need and (ratio := (a / n1) / ((good[w] + 1 / (n0 + 1)) / (n0 + 1))) >= floor and good[w] <= 0.002 * a:
-                out[w] = 1.0 + math.log(ratio / floor) / 10
-        return out
-
-    words = {w: v for w, v in strong(counts[True][0], counts[False][0]).items() if len(w) > 2}
-    stems = strong(counts[True][1], counts[False][1])
-    # a beginning says more than a word only where several words share it
-    spread: dict[str, Counter] = {s: Counter() for s in stems}
-    for w, a in counts[True][0].items():
-        for k in LENGTHS:
-            if len(w) >= k and w[:k] in spread:
-                spread[w[:k]][w] += a
-    stems = {s: v for s, v in stems.items() if len(spread[s]) >= 4 and max(spread[s].values()) < 0.8 * sum(spread[s].values())}
-    stems = {s: v for s, v in stems.items() if s[:-1] not in stems}
-    return words, stems
+def lexicon(docs: list[str], toxic: np.ndarray) -> dict[str, float]:
+    """Beginnings of words that toxic texts have far more often, with the logarithm of how much. One enters after the other,
+    that with the largest likelihood ratio statistic first, the longest of several that cover the same words; words that it
+    covers count for no other."""
+    counts: dict[str, list[int]] = {}
+    total = [0, 0]
+    for text, t in zip(docs, toxic.tolist(), strict=True):
+        words = set(WORD.findall(text.lower()))  # a line that one text repeats says no more than once
+        total[t] += len(words)
+        for w in words:
+            counts.setdefault(w, [0, 0])[t] += 1
+    n0, n1 = total[0] + 1, total[1] + 1
+    sums: dict[str, list[int]] = {}
+    members: dict[str, list[str]] = {}
+    for w, (c0, c1) in counts.items():
+        if c1:
+            for k in LENGTHS:
+                if len(w) >= k:
+                    s = sums.setdefault(w[:k], [0, 0])
+                    s[0] += c0
+                    s[1] += c1
+    for w, (c0, c1) in counts.items():
+        if not c1:
+            for k in LENGTHS:
+                if len(w) >= k and w[:k] in sums:
+                    sums[w[:k]][0] += c0
+    live = {p: s for p, s in sums.items() if s[1] >= SUPPORT and s[1] / n1 >= RATIO * s[0] / n0}
+    for w, (_, c1) in counts.items():
+        if c1:
+            for k in LENGTHS:
+                if len(w) >= k and w[:k] in live:
+                    members.setdefault(w[:k], []).append(w)
+
+    def statistic(c0: int, c1: int) -> float:
+        if c1 < SUPPORT or c1 / n1 < RATIO * c0 / n0:
+            return 0.0
+        e = (c0 + c1) / (n0 + n1)
+        return 2 * (c1 * math.log(c1 / (n1 * e)) + (c0 * math.log(c0 / (n0 * e)) if c0 else 0.0))
+
+    found: dict[str, float] = {}
+    while live and len(found) < ENTRIES:
+        best = max(live, key=lambda p: (round(statistic(*live[p]), 6), len(p), p))
+        c0, c1 = live[best]
+        if statistic(c0, c1) < EVIDENCE:
+            break
+        found[best] = math.log((c1 + 0.5) / n1) - math.log((c0 + 0.5) / n0)
+        for w in members[best]:
+            x0, x1 = counts.pop(w, (0, 0))
+            for k in LENGTHS:
+                if len(w) >= k and w[:k] in live:
+                    live[w[:k]][0] -= x0
+                    live[w[:k]][1] -= x1
+        live.pop(best)
+    return found
 
 
 def learn(docs: list[str], labels: list[int]) -> Model:
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
-        return Model({}, {}, 20.0 if len(toxic) and toxic.all() else -20.0, (0.0,) * len(KINDS))
-    words, stems = lexicon(docs, toxic)
-    matcher = Matcher(words, stems)
+        return Model({}, 20.0 if len(toxic) and toxic.all() else -20.0, (0.0,) * len(PRIOR))
+    stems = lexicon(docs, toxic)
+    matcher = Matcher(stems)
     x = np.array([matcher.features(t) for t in docs])
     w, b, y = PRIOR.copy(), -3.0, toxic.astype(float)
     design = np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(25):  # Newton's steps on the likelihood with a normal prior around PRIOR
+    for _ in range(40):  # Newton's steps on the likelihood with a normal prior around PRIOR
         p = 1 / (1 + np.exp(-np.clip(design @ [*w, b], -30, 30)))
-        pull = np.array([0.5] * len(KINDS) + [0.05])
+        pull = np.array([0.3] * len(PRIOR) + [0.02])
         gradient = design.T @ (p - y) + pull * (np.array([*w, b]) - [*PRIOR, -3.0])
         step = np.linalg.solve((design * (p * (1 - p) + 1e-6)[:, None]).T @ design + np.diag(pull), gradient)
         size = min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
         w, b = w - size * step[:-1], b - size * float(step[-1])
-    return Model(words, stems, b, tuple(np.maximum(w, 0.0).tolist()))
+    return Model(stems, b, tuple(w.tolist()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use) -> DataFrame:
@@ -213,10 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, use) -> Model:
 def score(df: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """All columns of df, then score and predicted. Columns of df with these names give way."""
     keep = df.drop("score", "predicted")
-    schema = keep.schema.add("score", "double").add("predicted", "int")
+    schema = StructType([*keep.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
-        matcher = Matcher(model.words, model.stems)
+        matcher = Matcher(model.stems)
         for b in sliced(batches, "text"):
             p = model.score(np.array([matcher.features(t) for t in strings(b.column("text"))], float))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= cut).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
