@@ -62,13 +62,19 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more go when the JVM notices: have it look now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    gc.collect()  # shuffle files of earlier plans, which nothing refers to any more, go when the JVM notices
-    spark.sparkContext._jvm.System.gc()
+    released(spark)
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    released(spark)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
     return out

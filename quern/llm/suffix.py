@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import dropped, saved, sliced, strings, texts
+from quern.llm.common import dropped, released, saved, sliced, strings, texts
 from quern.llm.neardup import mix
 
 LENGTH, GRAM = 50, 16
@@ -257,6 +257,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
     gathered = spans.groupBy(F.col("doc").alias("first"), F.col("id").alias("first_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     plan = saved(firsts.join(gathered, ["first", "first_id"], "left").select("md5", "first", "spans"), "plan")
     dropped(spans)
+    released(df.sparkSession)
 
     def apply(batches):
         for b in sliced(batches, "text"):
