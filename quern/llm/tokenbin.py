@@ -18,7 +18,6 @@ texts have the end id alone. An empty table makes no file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -27,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -41,19 +41,16 @@ SKIPPABLE, TABLE_MAGIC, VERSION = 0x184D2A5E, 0x51554E54, 1
 ENTRY, TAIL, HEAD = struct.Struct("<QIIIQq"), struct.Struct("<III"), struct.Struct("<II")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("n", "<u4")])
 #: Chunks that a worker remembers, and how many new ones the library sees at once.
-REMEMBERED, TOGETHER = 400_000, 512
-
-
-#: A space beside other white space, or at an end: such a text is not cut.
-UNCUT = re.compile(r"\s | \s|^ | $")
+REMEMBERED, TOGETHER = 600_000, 512
 
 
 class ByteEncoder:
     """The tokenizers library behind a memory of chunks.
 
     The library's pattern starts a token at every single space between two characters that are not white space. A text is
-    cut there, each distinct chunk (kept without its space) is encoded once per worker, and new chunks go to the library side by side as one text: only
-    the first id of a chunk begins with a space, which tells the chunks apart again.
+    cut there, each distinct chunk (kept without its space) is encoded once per worker, and new chunks go to the library side
+    by side as one text: only the first id of a chunk begins with a space, which tells the chunks apart again. A text with a
+    space beside other white space or at an end is not cut: it has a chunk that is empty or has white space at an end.
     """
 
     def __init__(self, path: str):
@@ -65,62 +62,71 @@ class ByteEncoder:
         words = self.library.get_vocab()
         self.opens = np.zeros(max(words.values()) + 1, bool)
         self.opens[[i for w, i in words.items() if w.startswith("Ġ")]] = True
-        self.known: dict[str, int] = {}
-        self.ids, self.first, self.used = np.zeros(1 << 20, np.uint32), [0], 0
+        self.known: dict[str, int] = {}  #: number of a chunk, or -1 for one whose text is not cut
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def keep(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new)), strict=True))
-        self.first += (self.first[-1] + np.cumsum(lengths)).tolist()
+    def plain(self, docs: list[str]) -> list[np.ndarray]:
+        """Ids from the library, as it is."""
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(docs, add_special_tokens=False)] if docs else []
 
     def learn(self, new: list[str]) -> None:
-        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        for group, got in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(group):  # not the pattern we know: one by one
-                each = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast([" " + c for c in group], add_special_tokens=False)]
-                self.keep(group, np.concatenate(each), np.array([len(x) for x in each]))
+        ids, sizes, good = [], [], []
+        for c in new:
+            if not c or c[0].isspace() or c[-1].isspace():
+                self.known[c] = -1
             else:
-                self.keep(group, ids, np.diff([*starts, len(ids)]))
-
-    def encode(self, docs: list[str]) -> list[np.ndarray]:
-        cuts: list[list[str] | None] = []
-        whole, heads = [], []
-        for i, t in enumerate(docs):
-            if UNCUT.search(t) or " " not in t:
-                whole.append(t)
-                cuts.append(None)
+                good.append(c)
+        groups = [good[i : i + TOGETHER] for i in range(0, len(good), TOGETHER)]
+        for group, got in zip(groups, self.plain([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[got])
+            if len(starts) != len(group):  # not the pattern we know: one by one
+                each = self.plain([" " + c for c in group])
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
             else:
-                head, *parts = t.split(" ")
-                heads.append(head)
-                cuts.append(parts)
-        here = set().union(*[c for c in cuts if c])
-        new = here.difference(self.known)
+                ids.append(got)
+                sizes.append(np.diff(starts, append=len(got)))
+        self.known.update(zip(good, range(len(self.size), len(self.size) + len(good)), strict=True))
+        if good:
+            self.renew(np.concatenate([self.ids, *ids]), np.concatenate([self.size, *sizes]))
+
+    def renew(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.ids, self.size, self.first = ids, size, np.cumsum(size) - size
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the chunks of these numbers, one chunk after the other."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def remember(self, here: list[str]) -> np.ndarray:
+        """Numbers of these distinct chunks. Where memory runs out, all others are forgotten."""
+        new = [c for c in here if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.first, self.used, new = [0], 0, here
+            kept = {c: k for c in here if (k := self.known.get(c, -1)) >= 0}
+            new = [c for c in here if c not in kept]
+            at = np.fromiter(kept.values(), np.int64, len(kept))
+            self.renew(self.gather(at), self.size[at])
+            self.known = dict(zip(kept, range(len(kept)), strict=True))
         if new:
-            self.learn(list(new))
-        first = np.array(self.first, np.int64)
-        asked = heads + whole
-        others = iter([np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(asked, add_special_tokens=False)] if asked else [])
-        head_ids = [next(others) for _ in heads]
-        whole_ids = [next(others) for _ in whole]
-        known, heads_at, whole_at, out = self.known, iter(head_ids), iter(whole_ids), []
-        for one in cuts:
-            if one is None:
-                out.append(next(whole_at))
-                continue
-            at = np.fromiter(map(known.__getitem__, one), np.int64, len(one))
-            begin, size = first[at], first[at + 1] - first[at]
-            total = int(size.sum())
-            place = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            out.append(np.concatenate([next(heads_at), self.ids[place]]))
-        return out
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, here), np.int64, len(here))
+
+    def encode(self, docs: list[str]) -> list[np.ndarray]:
+        parts = pc.split_pattern(pa.array(docs, pa.large_string()), " ", max_splits=None)
+        sizes = parts.value_lengths().to_numpy().astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        flat = parts.flatten()
+        later = np.ones(len(flat), bool)
+        later[begins] = False  # a text's head has no space before it
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        at = self.remember(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum(sizes - 1)
+        heads = flat.take(pa.array(begins)).to_pylist()
+        odd = np.add.reduceat(np.r_[at < 0, False], np.minimum(ends - sizes + 1, len(at))) > 0 if len(docs) else np.zeros(0, bool)
+        cut = [n > 1 and not o and h != "" and not h[-1].isspace() for n, o, h in zip(sizes.tolist(), (odd & (sizes > 1)).tolist(), heads, strict=True)]
+        others = self.plain([h if c else t for t, h, c in zip(docs, heads, cut, strict=True)])
+        return [np.concatenate([x, self.gather(at[y - n + 1 : y])]) if c else x for x, c, y, n in zip(others, cut, ends.tolist(), sizes.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
