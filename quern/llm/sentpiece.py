@@ -27,7 +27,7 @@ from quern.llm.common import sliced, strings, texts
 
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 SPACE = "▁"
-#: Chunks that a worker remembers; beyond that the memory starts anew, which costs time only.
+#: Chunks that a worker remembers; beyond that it forgets those that the current batch lacks, which costs time only.
 REMEMBERED = 400_000
 #: Lengths up to which chunks share a matrix of agendas.
 WIDTHS = (6, 10, 14, 20, 32)
@@ -236,21 +236,22 @@ class Encoder:
         here = set().union(*cuts)
         new = here.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = here
+            self.known = {c: self.known[c] for c in here.difference(new)}
         if new:
             self.learn(list(new))
         return cuts
 
     def encode(self, docs: list[str]) -> list[list[int]]:
-        known, end = self.known, [self.model.end]
-        return [[*chain.from_iterable([known[c] for c in one]), *end] for one in self.cut(docs)]
+        cuts, end = self.cut(docs), [self.model.end]
+        known = self.known
+        return [[*chain.from_iterable([known[c] for c in one]), *end] for one in cuts]
 
     def digests(self, docs: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text of each document."""
+        cuts = self.cut(docs)
         known, end, said = self.known, self.model.end, self.said
         n, a, b = [], [], []
-        for one in self.cut(docs):
+        for one in cuts:
             ids = list(chain.from_iterable([known[c] for c in one]))
             ids.append(end)
             n.append(len(ids))
