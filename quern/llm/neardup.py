@@ -243,7 +243,8 @@ def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame
     dropped(bands, first)
     asked = saved(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
     likely = maybe_among(identified(df).select("id", "text"), asked)
-    held = saved(likely.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    # an inner join (asked is distinct): a semi join would be moved below the filter of likely ids, and all texts dealt out
+    held = saved(likely.join(asked, "id").groupBy("id").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
