@@ -11,8 +11,9 @@ only if equal. Null texts count as empty. Repeated rows and ids get a row each.
 
 Members of a candidate group are compared without writing out their pairs: a histogram of shingles bounds the similarity from
 above, so what fails it is no link. In small groups all pairs that pass are aligned. In larger ones each member is aligned with
-the first leader and with the nearest earlier member that pass; a member without either becomes a leader. Groups over SALTED
-texts are first dealt out by a salt, and the leaders of the parts then meet.
+all leaders and with the nearest earlier member that pass; a member without either becomes a leader. Groups over SALTED
+texts are first dealt out by a salt, and the leaders of the parts then meet. Where more than SALTED leaders are left, they meet
+in blocks of about SALTED, by lengths that a link allows, so that no task gets a whole group.
 """
 
 from __future__ import annotations
@@ -148,10 +149,7 @@ def compare(ids: list[bytes], n: np.ndarray, hist: np.ndarray, least: float) ->
         if len(ids) <= SMALL:
             pairs += [(int(j), i) for j in near]
         elif len(near):
-            chosen = {int(near[apart[near].argmin()])}
-            if (first := near[led[near]]).size:
-                chosen.add(int(first[0]))
-            pairs += [(j, i) for j in chosen]
+            pairs += [(j, i) for j in {int(near[apart[near].argmin()]), *near[led[near]].tolist()}]
         if not len(near):
             leaders.append(i)
             led[i] = True
