@@ -18,13 +18,14 @@ in blocks of about SALTED, by lengths that a link allows, so that no task gets a
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import dropped, saved, sliced, strings, texts
@@ -203,6 +204,34 @@ def candidates(members: DataFrame, least: float, again: bool) -> DataFrame:
     return dealt.mapInArrow(run, PAIRS)
 
 
+def in_blocks(leaders: DataFrame, least: float) -> DataFrame:
+    """The leaders dealt out by salt: those of a key with SALTED or fewer meet at once. The others go by levels of length, of
+    which a link joins the same or neighbouring ones (the shorter text has at least `least` of the longer's shingles), and by
+    blocks of a level; each two blocks that a link can join share a salt. Every such pair of leaders meets somewhere."""
+    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / least) * (1 + 1e-9))).cast("int")
+    many = leaders.groupBy("key").count().filter(F.col("count") > SALTED).select("key")
+    few = leaders.join(many, "key", "left_anti").select("key", "salt", "parts", "id", "n", "hist")
+    rest = leaders.join(many, "key", "left_semi").withColumn("level", level)
+    # aggregated before the shuffle: a row for each level of a key
+    blocks = rest.groupBy("key", "level").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("blocks"))
+    near = [blocks.select("key", (F.col("level") - k).alias("level"), F.col("blocks").alias(name)) for k, name in ((1, "above"), (-1, "below"))]
+    rest = rest.join(blocks, ["key", "level"]).join(near[0], ["key", "level"], "left").join(near[1], ["key", "level"], "left")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def others(name: str, cell) -> Column:
+        some = F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1))
+        return F.transform(F.coalesce(some, F.array().cast("array<int>")), cell)
+
+    own, at = F.col("own"), F.col("level")
+    cells = F.concat(
+        others("blocks", lambda j: F.xxhash64(F.lit(0), at, F.least(own, j), F.greatest(own, j))),
+        others("above", lambda j: F.xxhash64(F.lit(1), at, own, j)),
+        others("below", lambda j: F.xxhash64(F.lit(1), at - 1, j, own)),
+    )
+    dealt = rest.select("key", F.explode(cells).alias("salt"), "parts", "id", "n", "hist")
+    return few.withColumn("salt", F.col("salt").cast("long")).unionByName(dealt)
+
+
 def sketches(df: DataFrame) -> DataFrame:
     """doc_id, id (MD5 of the text), n, hist and keys of every row."""
 
@@ -236,7 +265,7 @@ def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame
     leaders = first.filter("b is null").select("key", F.lit(0).alias("salt"), F.lit(1).alias("parts"), F.col("a").alias("id"), "n", "hist")
     pairs = first.filter("b is not null").select("a", "b")
     if not leaders.isEmpty():
-        pairs = pairs.union(candidates(leaders, least, False).select("a", "b"))
+        pairs = pairs.union(candidates(in_blocks(leaders, least), least, False).select("a", "b"))
     pairs = saved(pairs.distinct(), "pairs")
     dropped(bands, first)
     asked = saved(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "asked")

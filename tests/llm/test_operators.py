@@ -174,6 +174,27 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
+    """Groups far over the size that meets at once: leaders in blocks by length, no link lost."""
+    monkeypatch.setattr(neardup, "SALTED", 4)
+    test_near_duplicates(spark, docs)
+
+
+def test_every_two_leaders_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALTED", 5)
+    rows = [(k % 2, 0, 1, bytes([k]), 10 + k, b"") for k in range(60)] + [(7, 0, 1, bytes([k]), 3, b"") for k in range(5)]
+    dealt = neardup.in_blocks(spark.createDataFrame(rows, "key long, salt int, parts int, id binary, n int, hist binary"), 0.8)
+    cells = {}
+    for r in dealt.collect():
+        cells.setdefault((r.key, r.salt), set()).add((bytes(r.id), r.n))
+    met = {(key, a[0], b[0]) for (key, _), c in cells.items() for a in c for b in c}
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and min(x[4], y[4]) >= 0.8 * max(x[4], y[4]):
+                assert (x[0], x[3], y[3]) in met
+    assert max(map(len, cells.values())) < 30
+
+
 def test_alignment_against_table():
     r = np.random.default_rng(1)
     for _ in range(200):
