@@ -1,12 +1,12 @@
-"""Operator 10: benchmark decontamination by rare seeds and local alignment.
+"""Operator 10: benchmark decontamination by seeds and local alignment.
 
-Words are runs of letters and digits in lower case. Every run of GRAM words of a test item is looked up in all documents and its
-document frequency counted. In each stretch of STRETCH consecutive runs of an item, the KEPT rarest are its seeds (rarity is
-relative: a passage that a third of all documents hold still has seeds). Documents that hold a seed are aligned with its item
-around that place (Smith-Waterman: match 2, mismatch -1, gap -1), and the best score over the score of a whole copy is
-the similarity. Edited copies with 8 in 10 words left reach about 0.7, with 7 in 10 about 0.55; unrelated texts stay near 0.2.
+Words are runs of letters and digits in lower case. Every run of GRAM words of a test item is a seed, common or not, for an edited
+copy need hold none of an item's rare ones. Documents that hold a seed are aligned with its item around that place (Smith-Waterman:
+match 2, mismatch -1, gap -1) if enough of the item's words are there, in any order, to reach the least score; the best score over
+the score of a whole copy is the similarity. Edited copies with 8 in 10 words left reach about 0.7, with 7 in 10 about 0.55;
+unrelated texts stay near 0.2. A copy without any GRAM words in a row left (every third one replaced) has no seed.
 
-Items go to the workers in blocks of AT_ONCE words at most, each block with passes of its own over the documents, so what is
+Items go to the workers in blocks of AT_ONCE words at most, each block with a pass of its own over the documents, so what is
 broadcast is bounded whatever the benchmark's size. Null and empty texts and items match nothing; an item shorter than GRAM
 words is its own seed; items or documents that repeat are reported each time; an empty benchmark gives no rows.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import sliced, strings, texts
 
 WORD = re.compile(r"[^\W_]+")
-GRAM, STRETCH, KEPT = 3, 8, 4
+GRAM = 3
 SIMILARITY = 0.45
 AT_ONCE = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -39,6 +39,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.number = {w: k for k, w in enumerate(sorted({w for _, words in rows for w in words}))}
         self.words = [np.array([self.number[w] for w in words], np.int64) for _, words in rows]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.base = len(self.number) + 1
         if self.base**GRAM >= 2**62:
             raise ValueError("too many words in a block of items")
@@ -66,28 +67,28 @@ class Items:
         get = self.number.get
         return np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
 
-    def hits(self, words: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a document whose run of words is among the keys marked, and the number of that key."""
-        places, keys = [], []
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The item, the place in it and the place in the document of each run of words that both hold."""
+        items, ats, places = [], [], []
         for size in self.sizes:
             key = self.keys(words, size)
             near = np.flatnonzero(key >= 0)
-            at = np.minimum(np.searchsorted(self.key, key[near]), len(self.key) - 1)
-            ok = (self.key[at] == key[near]) & among[at]
-            places.append(near[ok])
-            keys.append(at[ok])
-        return (np.concatenate(places), np.concatenate(keys)) if places else (np.zeros(0, np.int64),) * 2
-
-    def seeds(self, frequency: np.ndarray) -> np.ndarray:
-        """Which (run, item, place) entries are seeds, given how many documents hold each key."""
-        rank = np.repeat(frequency, np.diff(self.first))
-        order = np.lexsort((self.at, rank, self.at // STRETCH, self.item))
-        group = self.item[order] * (1 << 40) + self.at[order] // STRETCH
-        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        place = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
-        out = np.zeros(len(order), bool)
-        out[order[place < KEPT]] = True
-        return out
+            k = np.minimum(np.searchsorted(self.key, key[near]), len(self.key) - 1)
+            same = self.key[k] == key[near]
+            k, near = k[same], near[same]
+            n = self.first[k + 1] - self.first[k]
+            e = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            items.append(self.item[e])
+            ats.append(self.at[e])
+            places.append(np.repeat(near, n))
+        return (np.concatenate(items), np.concatenate(ats), np.concatenate(places)) if items else (np.zeros(0, np.int64),) * 3
+
+    def most(self, words: np.ndarray, item: int) -> float:
+        """An upper bound of the similarity: the share of the item's words that are there, in any order."""
+        own, n = self.bags[item]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        there = np.bincount(at[own[at] == words], minlength=len(own))
+        return float(np.minimum(there, n).sum() / n.sum())
 
 
 def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -112,17 +113,14 @@ def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def matches(items: Items, seeds: np.ndarray, among: np.ndarray, text: str, least: float) -> Iterator[tuple[int, float, int, int]]:
+def matches(items: Items, text: str, least: float) -> Iterator[tuple[int, float, int, int]]:
     """(number of the item, similarity, first word, last word) for each item that the text holds a copy of: its best place."""
     words = items.document(text)
-    places, keys = items.hits(words, among)
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for p, k in zip(places.tolist(), keys.tolist(), strict=True):
-        for e in range(items.first[k], items.first[k + 1]):
-            if seeds[e]:
-                i, q, n = int(items.item[e]), int(items.at[e]), len(items.words[items.item[e]])
-                slack = n // 2 + 5
-                windows.setdefault(i, []).append((max(0, p - q - slack), min(len(words), p - q + n + slack)))
+    windows: dict[int, set[tuple[int, int]]] = {}
+    for i, q, p in zip(*(x.tolist() for x in items.hits(words)), strict=True):
+        n = len(items.words[i])
+        slack = n // 2 + 5
+        windows.setdefault(i, set()).add((max(0, p - q - slack), min(len(words), p - q + n + slack)))
     for i, spans in sorted(windows.items()):
         item, best, joined = items.words[i], (0.0, 0, -1), []
         for a, b in sorted(spans):
@@ -131,6 +129,8 @@ def matches(items: Items, seeds: np.ndarray, among: np.ndarray, text: str, least
             else:
                 joined.append([a, b])
         for a, b in joined:
+            if items.most(words[a:b], i) < least:
+                continue
             s, first, last = align(words[a:b], item)
             if s / (MATCH * len(item)) > best[0]:
                 best = (s / (MATCH * len(item)), a + first, a + last)
@@ -162,35 +162,13 @@ def find(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFr
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], COLUMNS)
 
 
-def _seeded(source: DataFrame, items: Items):
-    """The block and its seeds, as broadcasts: the frequencies come from all documents."""
-    held = source.sparkSession.sparkContext.broadcast(items)  # AT_ONCE words at most
-
-    def count(batches):
-        own = held.value
-        every = np.ones(len(own.key), bool)
-        total = np.zeros(len(own.key), np.int64)
-        for b in sliced(batches, "text"):
-            for t in strings(b.column("text")):
-                total[np.unique(own.hits(own.document(t), every)[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["key", "n"])
-
-    frequency = np.zeros(len(items.key), np.int64)
-    for r in source.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        frequency[r.key] = r.n  # a row for each run of the block's words at most
-    seeds = items.seeds(frequency)
-    among = np.logical_or.reduceat(seeds, items.first[:-1]) if len(items.key) else np.zeros(0, bool)
-    return held, source.sparkSession.sparkContext.broadcast((seeds, among))
-
-
 def _find_block(source: DataFrame, items: Items, least: float) -> DataFrame:
-    held, chosen = _seeded(source, items)
+    held = source.sparkSession.sparkContext.broadcast(items)  # AT_ONCE words at most
 
     def search(batches):
-        own, (seed, mark) = held.value, chosen.value
+        own = held.value
         for b in sliced(batches, "text"):
-            rows = [(d, own.ids[i], s, f, z) for d, t in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), strict=True) for i, s, f, z in matches(own, seed, mark, t, least)]
+            rows = [(d, own.ids[i], s, f, z) for d, t in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), strict=True) for i, s, f, z in matches(own, t, least)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -203,12 +181,12 @@ def without(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> Dat
     the decision is made row by row, where the document is read."""
     out = docs
     for block in item_blocks(items):
-        held, chosen = _seeded(texts(out), block)
+        held = docs.sparkSession.sparkContext.broadcast(block)  # AT_ONCE words at most
 
-        def run(batches, held=held, chosen=chosen):
-            own, (seed, mark) = held.value, chosen.value
+        def run(batches, held=held):
+            own = held.value
             for b in sliced(batches, "text"):
-                keep = [next(matches(own, seed, mark, t, least), None) is None for t in strings(b.column("text"))]
+                keep = [next(matches(own, t, least), None) is None for t in strings(b.column("text"))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)

@@ -377,6 +377,20 @@ def test_decontamination(spark, docs, odd, none):
     assert {r.doc_id for r in decontam.without(df, items).collect()} == set(texts_of(df)) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("length", [18, 26, 34, 41])
+@pytest.mark.parametrize("every", [4, 5])
+def test_decontamination_of_edited_copies(spark, every, length):
+    """Copies whose destroyed runs are rarer than the surviving ones, with documents that hold the runs which they lack."""
+    item = [f"w{k}" for k in range(length)]
+    copy = [f"x{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+    parts = [(k, " ".join(item[k : k + 3])) for k in range(0, length - 2, 2)]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for others in ([], parts):
+        df = spark.createDataFrame([(100, "before it " + " ".join(copy) + " after it"), *others], "doc_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontam.find(df, items).collect()] == [(100, 7)]
+        assert 100 not in {r.doc_id for r in decontam.without(df, items).collect()}
+
+
 def test_local_alignment():
     score, first, last = decontam.align(np.array([9, 9, 1, 2, 3, 8, 4, 9]), np.array([1, 2, 3, 4]))
     assert (score, first, last) == (7, 2, 6)
