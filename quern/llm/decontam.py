@@ -7,8 +7,9 @@ the score of a whole copy is the similarity. Edited copies with 8 in 10 words le
 unrelated texts stay near 0.2. A copy without any GRAM words in a row left (every third one replaced) has no seed.
 
 Items go to the workers in blocks of AT_ONCE words at most, each block with a pass of its own over the documents, so what is
-broadcast is bounded whatever the benchmark's size. Null and empty texts and items match nothing; an item shorter than GRAM
-words is its own seed; items or documents that repeat are reported each time; an empty benchmark gives no rows.
+broadcast is bounded whatever the benchmark's size. Null and empty texts and items match nothing; an item without an id is
+searched for like the others and reported with a null item_id; an item shorter than GRAM words is its own seed; items or
+documents that repeat are reported each time; an empty benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ COLUMNS = "doc_id long, item_id long, score double, first_word long, last_word l
 class Items:
     """A block of items: their words as numbers, and their runs of words as keys."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]]):
+    def __init__(self, rows: list[tuple[int | None, list[str]]]):
         self.ids = [i for i, _ in rows]
         self.number = {w: k for k, w in enumerate(sorted({w for _, words in rows for w in words}))}
         self.words = [np.array([self.number[w] for w in words], np.int64) for _, words in rows]
@@ -141,7 +142,7 @@ def matches(items: Items, text: str, least: float) -> Iterator[tuple[int, float,
 def item_blocks(items: DataFrame, at_once: int = AT_ONCE) -> Iterator[Items]:
     """The benchmark in blocks of bounded words; one block is on the driver at a time."""
     block, held = [], 0
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null and item_id is not null")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         words = WORD.findall(r.text.lower())
         if words:

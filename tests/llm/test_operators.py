@@ -391,6 +391,14 @@ def test_decontamination_of_edited_copies(spark, every, length):
         assert 100 not in {r.doc_id for r in decontam.without(df, items).collect()}
 
 
+def test_decontamination_item_without_id(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    items = spark.createDataFrame([(None, item), (None, None), (1, None), (2, "other words than those")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"a {item} b"), (2, "clean words here"), (3, "with other words than those")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.find(df, items).collect()), key=str) == [(1, None), (3, 2)]
+    assert [r.doc_id for r in decontam.without(df, items).collect()] == [2]
+
+
 def test_local_alignment():
     score, first, last = decontam.align(np.array([9, 9, 1, 2, 3, 8, 4, 9]), np.array([1, 2, 3, 4]))
     assert (score, first, last) == (7, 2, 6)
