@@ -10,10 +10,12 @@ Equal texts are one text from the start. A text of fewer than WORDS words is a s
 only if equal. Null texts count as empty. Repeated rows and ids get a row each.
 
 Members of a candidate group are compared without writing out their pairs: a histogram of shingles bounds the similarity from
-above, so what fails it is no link. In small groups all pairs that pass are aligned. In larger ones each member is aligned with
-all leaders and with the nearest earlier member that pass; a member without either becomes a leader. Groups over SALTED
-texts are first dealt out by a salt, and the leaders of the parts then meet. Where more than SALTED leaders are left, they meet
-in blocks of about SALTED, by lengths that a link allows, so that no task gets a whole group.
+above, so what fails it is no link. In small groups all pairs that pass are aligned. In groups over SMALL texts, each member is
+first aligned with the leaders and the nearest earlier member that pass (a member without either is a leader); groups over SALTED
+texts are dealt out by a salt for that, and the leaders of the parts then meet. What these links leave apart is aligned next:
+members of such a group that are not joined yet meet in blocks, by lengths that a link allows, with their texts, and each pair
+that passes the histogram, and then the number of shingles that both hold, is aligned unless links have joined it meanwhile. The
+largest component of a group meets the other members only. So the classes do not depend on the sizes of groups.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WORD = re.compile(r"[^\W_]+")
 WORDS, SIMILARITY = 5, 0.8
 TABLES, MINIMA = 8, 2
 BINS, SMALL, SALTED = 64, 24, 512
+#: Shingles of the members of a block that meets with its texts.
+HELD = 2_000_000
 #: Most words whose hashes a worker remembers.
 REMEMBERED = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -204,34 +208,101 @@ def candidates(members: DataFrame, least: float, again: bool) -> DataFrame:
     return dealt.mapInArrow(run, PAIRS)
 
 
-def in_blocks(leaders: DataFrame, least: float) -> DataFrame:
-    """The leaders dealt out by salt: those of a key with SALTED or fewer meet at once. The others go by levels of length, of
+def in_blocks(members: DataFrame, least: float) -> DataFrame:
+    """The members dealt out by salt: those of a key with SALTED or fewer meet at once. The others go by levels of length, of
     which a link joins the same or neighbouring ones (the shorter text has at least `least` of the longer's shingles), and by
-    blocks of a level; each two blocks that a link can join share a salt. Every such pair of leaders meets somewhere."""
-    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / least) * (1 + 1e-9))).cast("int")
-    many = leaders.groupBy("key").count().filter(F.col("count") > SALTED).select("key")
-    few = leaders.join(many, "key", "left_anti").select("key", "salt", "parts", "id", "n", "hist")
-    rest = leaders.join(many, "key", "left_semi").withColumn("level", level)
-    # aggregated before the shuffle: a row for each level of a key
-    blocks = rest.groupBy("key", "level").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("blocks"))
-    near = [blocks.select("key", (F.col("level") - k).alias("level"), F.col("blocks").alias(name)) for k, name in ((1, "above"), (-1, "below"))]
-    rest = rest.join(blocks, ["key", "level"]).join(near[0], ["key", "level"], "left").join(near[1], ["key", "level"], "left")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def others(name: str, cell) -> Column:
-        some = F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1))
-        return F.transform(F.coalesce(some, F.array().cast("array<int>")), cell)
-
-    own, at = F.col("own"), F.col("level")
-    cells = F.concat(
-        others("blocks", lambda j: F.xxhash64(F.lit(0), at, F.least(own, j), F.greatest(own, j))),
-        others("above", lambda j: F.xxhash64(F.lit(1), at, own, j)),
-        others("below", lambda j: F.xxhash64(F.lit(1), at - 1, j, own)),
-    )
-    dealt = rest.select("key", F.explode(cells).alias("salt"), "parts", "id", "n", "hist")
+    blocks of a level; each two blocks that a link can join share a salt. Every such pair of members meets somewhere, but for
+    two that are both `joined` (if there is that column)."""
+    columns = members.columns
+    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / (math.log(1 / least) * (1 + 1e-9))).cast("int")
+    many = members.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("held")).filter((F.col("count") > SALTED) | (F.col("held") > HELD)).select("key")
+    few = members.join(many, "key", "left_anti").select(columns)
+    rest = members.join(many, "key", "left_semi").withColumn("level", level)
+    rest = rest.withColumn("kind", F.col("joined").cast("int") if "joined" in columns else F.lit(0))
+    # aggregated before the shuffle: a row for each level of a key, some tens at most
+    size = F.greatest(F.ceil(F.count("*") / SALTED), F.ceil(F.sum("n") / HELD)).cast("int")
+    blocks = rest.groupBy("key", "level", "kind").agg(size.alias("blocks"))
+    rest = rest.join(blocks.groupBy("key").agg(F.collect_list(F.struct("level", "kind", "blocks")).alias("all")), "key")
+    mine = F.filter("all", lambda x: (x["level"] == F.col("level")) & (x["kind"] == F.col("kind")))[0]["blocks"]
+    place = F.struct(F.col("level").alias("level"), F.col("kind").alias("kind"), F.pmod(F.xxhash64("id"), mine).cast("int").alias("own"))
+    rest = rest.withColumn("place", place)
+
+    def cells(x: Column) -> Column:
+        def cell(j: Column) -> Column:
+            there = F.struct(x["level"].alias("level"), x["kind"].alias("kind"), j.alias("own"))
+            return F.xxhash64(F.least(F.col("place"), there), F.greatest(F.col("place"), there))
+
+        return F.transform(F.sequence(F.lit(0), x["blocks"] - 1), cell)
+
+    near = F.filter("all", lambda x: (F.abs(x["level"] - F.col("level")) <= 1) & (x["kind"] + F.col("kind") < 2))
+    every = F.flatten(F.transform(near, cells))
+    dealt = rest.withColumn("salt", F.explode(every)).select(columns)
     return few.withColumn("salt", F.col("salt").cast("long")).unionByName(dealt)
 
 
+def joining(rows: list[tuple[bytes, bytes, np.ndarray]], least: float) -> Iterator[tuple[bytes, bytes, float]]:
+    """Links between texts (id, root, shingles) that have different roots: every pair that can be a link is aligned unless links,
+    earlier ones or these, have joined it."""
+    n = np.array([len(s) for _, _, s in rows])
+    hist = np.stack([np.frombuffer(histogram(s), "<u2").astype(np.int32) for _, _, s in rows])
+    number: dict[bytes, int] = {}
+    root = np.array([number.setdefault(r, len(number)) for _, r, _ in rows])
+    if len(number) < 2:
+        return
+    flat = np.concatenate([labelled(s) for _, _, s in rows])
+    _, flat = np.unique(flat, return_inverse=True)
+    holder = np.repeat(np.arange(len(rows)), n)
+    start = np.r_[0, np.cumsum(n)]
+    order = np.argsort(flat, kind="stable")
+    holders = holder[order]  # of each shingle, in turn
+    first = np.r_[0, np.cumsum(np.bincount(flat))]
+    limit = (1 - least) / (1 + least)
+    for i in range(1, len(rows)):
+        apart = np.flatnonzero(root[:i] != root[i])
+        near = apart[np.abs(hist[apart] - hist[i]).sum(1) <= limit * (n[apart] + n[i]) + 1e-9]
+        if not len(near):
+            continue
+        own = flat[start[i] : start[i + 1]]
+        shared = np.zeros(len(rows), np.int64)
+        for at in range(0, len(own), 512):
+            part = own[at : at + 512]
+            c = first[part + 1] - first[part]
+            shared += np.bincount(holders[np.repeat(first[part] - np.cumsum(c) + c, c) + np.arange(c.sum())], minlength=len(rows))
+        total = n[near] + n[i]
+        near = near[shared[near] * (1 + least) >= least * total - 1e-9]
+        for j in near[np.argsort(-shared[near], kind="stable")].tolist():
+            if root[i] != root[j] and (s := similarity(rows[i][2], rows[j][2], least)) >= least:
+                root[root == root[j]] = root[i]
+                a, b = sorted((rows[i][0], rows[j][0]))
+                yield a, b, s
+
+
+LINKS = "a binary, b binary, similarity double"
+
+
+def remaining(members: DataFrame, found: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links between members (key, id, n) of large groups that those found so far do not join; found: node and root."""
+    rooted = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = rooted.groupBy("key", "root").count()
+    main = parts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("main")).filter("roots > 1")
+    # main is not null, so a plain comparison
+    open_ = saved(rooted.join(main, "key").withColumn("joined", F.col("root") == F.col("main")).withColumn("salt", F.lit(0)).select("key", "salt", "id", "n", "root", "joined"), "open")
+    asked = saved(open_.select("id").distinct(), "asked")
+    held = saved(maybe_among(identified(docs).select("id", "text"), asked).join(asked, "id").groupBy("id").agg(F.first("text").alias("text")), "texts")
+
+    def run(batches):
+        memory = Hashes()
+        for _, group in groups(batches, ("key", "salt")):
+            rows = [(i, r, shingles(t, memory)) for x in group for i, r, t in zip(x.column("id").to_pylist(), x.column("root").to_pylist(), strings(x.column("text")), strict=True)]
+            if got := list(joining(rows, least)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    dealt = in_blocks(open_, least).join(held, "id").select("key", "salt", "id", "root", "text")
+    out = saved(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(run, LINKS), "more")
+    dropped(open_, asked, held)
+    return out
+
+
 def sketches(df: DataFrame) -> DataFrame:
     """doc_id, id (MD5 of the text), n, hist and keys of every row."""
 
@@ -253,11 +324,14 @@ def identified(df: DataFrame) -> DataFrame:
     return texts(df).withColumn("id", F.unhex(F.md5("text")))
 
 
-def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a < b and similarity of the links between different texts; own: the sketches of df."""
+def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """a < b and similarity of the links between different texts, and the members (key, id, n) of groups over SMALL texts, of
+    which not all pairs were compared; own: the sketches of df."""
     distinct = own.groupBy("id").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("keys").alias("keys"))
     bands = saved(distinct.select("id", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / SALTED).cast("int").alias("parts"))
+    large = bands.groupBy("key").count().filter(F.col("count") > SMALL).select("key")
+    large = saved(bands.join(large, "key", "left_semi").join(own.groupBy("id").agg(F.first("n").alias("n")), "id").select("key", "id", "n"), "large")
     met = bands.join(shared, "key")  # few rows are left, and only they take their histograms along
     salted = met.join(own.groupBy("id").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "id")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -281,9 +355,9 @@ def links(df: DataFrame, own: DataFrame, least: float = SIMILARITY) -> DataFrame
             keep = pa.array([x >= least for x in s])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
-    out = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double"), "links")
+    out = saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, LINKS), "links")
     dropped(pairs, asked, held)
-    return out
+    return out, large
 
 
 def maybe_among(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -323,7 +397,13 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, text id, class_id (smallest doc_id of the class) and class_size of every row."""
     own = saved(sketches(df), "sketches")
-    found = components(links(df, own, least))
+    edges, large = links(df, own, least)
+    found = components(edges)
+    if not large.isEmpty():
+        more = remaining(large, found, df, least)
+        if not more.isEmpty():
+            found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more.select("a", "b")))
+    dropped(large)
     rooted = own.select("doc_id", "id").join(found, own["id"] == found["node"], "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
     size = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rooted.join(size, "root").select("doc_id", "id", "class_id", "class_size")
