@@ -395,7 +395,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, text id, class_id (smallest doc_id of the class) and class_size of every row."""
+    """doc_id, text id, root (a text id) of the class, class_id (smallest doc_id of the class) and class_size of every row."""
     own = saved(sketches(df), "sketches")
     edges, large = links(df, own, least)
     found = components(edges)
@@ -406,14 +406,14 @@ def classes(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     dropped(large)
     rooted = own.select("doc_id", "id").join(found, own["id"] == found["node"], "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
     size = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rooted.join(size, "root").select("doc_id", "id", "class_id", "class_size")
+    return rooted.join(size, "root").select("doc_id", "id", "root", "class_id", "class_size")
 
 
 def one_of_each(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows and columns of df, of each class only the row with the smallest doc_id (of rows equal in it, one)."""
     kept = classes(df, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # of several texts with that id, and of repeated rows, one stays
-    kept = saved(kept.groupBy(F.col("class_id").alias("_kept_id")).agg(F.min("id").alias("_kept_text"), F.count("*").alias("_kept_rows")), "kept")
+    # of several texts of a class with that id, and of repeated rows, one stays; other classes may have the same id, or none
+    kept = saved(kept.groupBy("root").agg(F.min("class_id").alias("_kept_id"), F.min("id").alias("_kept_text"), F.count("*").alias("_kept_rows")), "kept")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_kept_text"))
     out = df.join(kept, same)
     if not kept.filter("_kept_rows > 1").isEmpty():

@@ -245,6 +245,14 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.one_of_each(odd).filter("text like 'one two%'").count() == 1
 
 
+def test_one_of_each_class_whatever_its_ids(spark):
+    """Different texts with null or equal ids all stay; repeated ones once."""
+    own = [" ".join(f"{c}{k}" for k in range(12)) for c in "abcdef"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (None, None), (5, own[2]), (5, own[3]), (5, own[3]), (6, own[3]), (7, own[4]), (None, own[4]), (8, own[5])]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, own[0]), (None, own[1]), (None, None), (5, own[2]), (5, own[3]), (7, own[4]), (8, own[5])], key=str)
+
+
 # 5
 
 
