@@ -19,9 +19,20 @@ FOUND = pa.schema([("query_row", pa.int64()), ("track_id", pa.int64()), ("row_id
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors as rows; null ones, and such as differ in length, raise."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(flat)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and not (sizes == sizes[0]).all():
+        raise ValueError("vectors must not be null, and all of one length")
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
+def valid(q: np.ndarray, c: np.ndarray) -> None:
+    """Queries must be finite, not zero and as long as the candidates, which must be finite."""
+    if q.shape[1] != c.shape[1]:
+        raise ValueError("queries and candidates differ in length")
+    if not np.isfinite(q).all() or not q.any(1).all() or not np.isfinite(c).all():
+        raise ValueError("vectors must be finite, and queries not zero")
 
 
 def by_query(q: np.ndarray, keep: np.ndarray, *order: np.ndarray, k: int) -> np.ndarray:
@@ -38,6 +49,7 @@ def block(left: pa.Table, right: pa.Table, k: int, rule: str, exclude: str, thre
     order = np.lexsort((right.column("c_row_id").to_numpy(), right.column("c_track_id").to_numpy()))
     c_row, c_track = right.column("c_row_id").to_numpy()[order], right.column("c_track_id").to_numpy()[order]
     c, q = matrix(right.column("c_vector"))[order], matrix(left.column("vector"))
+    valid(q, c)
     first = np.flatnonzero(np.r_[True, c_track[1:] != c_track[:-1]])
     parts = []
     for at in range(0, len(q), 512):
@@ -68,13 +80,10 @@ def block(left: pa.Table, right: pa.Table, k: int, rule: str, exclude: str, thre
             elif rule == "count":
                 pooled = np.add.reduceat((s >= threshold).astype(float), first, axis=1)
             else:  # the mean of the best `top` windows, or of all when there are fewer
-                group = np.repeat(np.arange(len(first)), sizes)
-                pooled = np.empty(peak.shape)
-                for r in range(len(s)):
-                    o = np.lexsort((-s[r], group))
-                    use = np.arange(len(o)) - np.repeat(first, sizes) < top
-                    pooled[r] = np.bincount(group[o][use], s[r][o][use]) / np.minimum(sizes, top)
-                pooled = np.round(pooled, DIGITS)
+                group = np.broadcast_to(np.repeat(np.arange(len(first)), sizes), s.shape)
+                falling = np.take_along_axis(s, np.lexsort((-s, group), axis=1), 1)
+                early = np.arange(len(c_row)) - np.repeat(first, sizes) < top
+                pooled = np.round(np.add.reduceat(np.where(early, falling, 0.0), first, axis=1) / np.minimum(sizes, top), DIGITS)
             i, j = np.nonzero(~out[:, first])
             score, best = pooled[i, j], peak[i, j]
             tie = -np.maximum(best, 0) if rule == "count" else np.zeros(len(best))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import contextlib
 import atexit
+import contextlib
+import csv
+import json
 import tempfile
 import uuid
 
@@ -12,31 +14,43 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local master gets a folder of its
+    own; on a cluster that would be another disk for each machine, so it raises there."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir"):
         return path.rstrip("/")
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="quern-")
     sc.setCheckpointDir(path)
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame as a table in the shared folder, removed when the driver ends."""
-    spark = df.sparkSession
+def removed(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new place below the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def drop() -> None:
         with contextlib.suppress(Exception):
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            removed(spark, path)
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The frame as a table in the shared folder, removed when the driver ends."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -45,20 +59,45 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
-def commit(df: DataFrame, path: str) -> None:
-    """Write data, then a manifest of count, digest and schema: a directory without a manifest is not complete. An existing
-    one is refused."""
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a manifest was written, the last step of a commit."""
+    return exists(spark, f"{path}/manifest/_SUCCESS")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what a commit that did not finish has left; a complete directory is refused."""
+    if complete(spark, path):
+        raise ValueError(f"{path} is complete")
+    removed(spark, path)
+
+
+def commit(df: DataFrame, path: str, about: dict[str, str] | None = None) -> None:
+    """Write data, then a manifest of count, digest, schema and what it is `about` (parameters, sources): a directory without
+    a manifest is not complete. An existing one is refused."""
     df.write.mode("errorifexists").parquet(f"{path}/data")
     spark = df.sparkSession
     stored = spark.read.parquet(f"{path}/data")
-    fingerprint(stored).withColumn("schema", F.lit(stored.schema.json())).write.mode("errorifexists").json(f"{path}/manifest")
+    own = F.to_json(F.create_map(*[F.lit(x) for kv in sorted((about or {"": ""}).items()) for x in kv]))
+    fingerprint(stored).withColumn("schema", F.lit(stored.schema.json())).withColumn("about", own).write.mode("errorifexists").json(f"{path}/manifest")
 
 
-def load(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """A committed table; a missing manifest or changed contents raise."""
-    manifest = spark.read.schema("n long, digest string, schema string").json(f"{path}/manifest").collect()
+def load(spark: SparkSession, path: str, verify: bool = True, expect: dict[str, str] | None = None) -> DataFrame:
+    """A committed table. A missing manifest, another schema, changed contents, or an `about` that differs from what is
+    expected in any name raise: what was made from other sources or with other parameters is stale."""
+    if not complete(spark, path):
+        raise ValueError(f"{path} is not complete")
+    manifest = spark.read.schema("n long, digest string, schema string, about string").json(f"{path}/manifest").collect()
     if len(manifest) != 1:
         raise ValueError(f"{path} is not complete")
+    if expect is not None:
+        have = json.loads(manifest[0].about or "{}")
+        if stale := sorted(k for k in {*expect, *have} - {""} if have.get(k) != expect.get(k)):
+            raise ValueError(f"{path} is stale: {', '.join(stale)}")
     df = spark.read.parquet(f"{path}/data")
     if df.schema.json() != manifest[0].schema:
         raise ValueError(f"{path} has another schema than its manifest")
@@ -69,14 +108,16 @@ def load(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
 
 def grouped_csv(spark: SparkSession, path: str, columns: dict[tuple[str, str], str], key: str = "track_id") -> DataFrame:
     """A CSV file under three header rows; columns are named by (group, field), the first is the key. Blank fields are null,
-    rows without a key are skipped, a missing column raises."""
-    raw = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    head = raw.limit(2).collect()  # the first rows of the file
-    place = {(g, f): c for c, g, f in zip(raw.columns, head[0], head[1], strict=True)}
+    rows without a key are skipped, a missing column raises. A record is a line, so the file is read in splits."""
+    top = spark.read.text(path).limit(2).collect()  # the first two lines of the first split
+    head = list(csv.reader([r.value for r in top]))
+    place = {(g.strip(), f.strip()): k for k, (g, f) in enumerate(zip(*head, strict=True))} if len(head) == 2 else {}
     if missing := [k for k in columns if k not in place]:
         raise KeyError(f"columns missing: {missing}")
+    names = [f"c{k}" for k in range(len(head[0]))]
+    raw = spark.read.option("header", False).option("escape", '"').schema(", ".join(f"{n} string" for n in names)).csv(path)
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    out = raw.select(F.expr(f"try_cast({raw.columns[0]} as long)").alias(key), *[blank(place[k]).alias(n) for k, n in columns.items()])
+    out = raw.select(F.expr("try_cast(trim(c0) as long)").alias(key), *[blank(names[place[k]]).alias(n) for k, n in columns.items()])
     return out.filter(F.col(key).isNotNull())
 
 
