@@ -6,14 +6,16 @@ metadata; events, part, orders and lineitem are measurements. Searches take ever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import exact, graph
-from quern.operators.tables import best_of, numbered, queries_of, segments, table, upserted
+from quern.operators.tables import WINDOWS, best_of, last_of, numbered, quantiles, queries_of, required, running, segments, table, upserted
+from quern.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,21 +134,33 @@ _TRUTH = f"WITH {SIMS}, a AS (SELECT query_row, row_id, row_number() OVER (PARTI
 
 
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """recall@k by query: distinct ids of both first k over k; queries without a match have 0."""
+    """recall@k by query: distinct ids of both first k over k; queries without a match have 0. Lists of the truth that are
+    shorter than k raise."""
+    ranks = truth.groupBy("query_row").agg(F.max("rank").alias("most"))
+    whole = required(ranks, F.col("most") >= k, f"the truth has fewer than {k} rows for a query").select("query_row")
     t = truth.filter(F.col("rank") <= k).select("query_row", "row_id").distinct()
     f = found.filter(F.col("rank") <= k).select("query_row", "row_id").distinct().withColumn("hit", F.lit(1))
-    return t.join(f, ["query_row", "row_id"], "left").groupBy("query_row").agg((F.count("hit") / F.lit(float(k))).alias("recall"))
+    each = t.join(f, ["query_row", "row_id"], "left").groupBy("query_row").agg((F.count("hit") / F.lit(float(k))).alias("recall"))
+    return each.join(whole, "query_row")
+
+
+def both_lists(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The k best other windows, and those of other tracks, from one search: a track has WINDOWS windows at most, so the
+    second list lies within the first K + WINDOWS - 1."""
+    wide = store.written(hits(spark, d, "row", "self", K + WINDOWS - 1), "lists")
+    rest = wide.filter(F.col("track_id") != F.expr(f"query_row div {WINDOWS}")).drop("rank")
+    return wide.filter(F.col("rank") <= K), best_of(rest, ["query_row"], [F.desc("score"), F.col("row_id")], K)
 
 
 @query(_TRUTH + " SELECT a.query_row, count(b.row_id) / 10.0::double AS recall FROM (SELECT * FROM a WHERE rank <= 10) a LEFT JOIN (SELECT * FROM b WHERE rank <= 10) b USING (query_row, row_id) GROUP BY 1")
 def recall_at_k(spark, d):
-    return recall(hits(spark, d, "row", "self"), hits(spark, d, "row", "track"), K)
+    return recall(*both_lists(spark, d), K)
 
 
 @query(_TRUTH + " SELECT a.query_row, count(*) AS shared FROM a JOIN b USING (query_row, row_id) WHERE a.rank <= 10 AND b.rank <= 10 GROUP BY 1")
 def list_overlap(spark, d):
-    a, b = (hits(spark, d, "row", x).select("query_row", "row_id") for x in ("self", "track"))
-    return a.join(b, ["query_row", "row_id"]).groupBy("query_row").agg(F.count("*").alias("shared"))
+    a, b = both_lists(spark, d)
+    return a.select("query_row", "row_id").join(b.select("query_row", "row_id"), ["query_row", "row_id"]).groupBy("query_row").agg(F.count("*").alias("shared"))
 
 
 @query(f"WITH {TRACKS}, g AS (SELECT query_row, track_id, rank, round(first_value(sim) OVER (PARTITION BY query_row ORDER BY rank) - sim, 9) AS gap FROM top) SELECT query_row, track_id, rank::int AS rank, gap FROM g WHERE gap >= 0.01 AND gap < 0.05")
@@ -242,9 +256,9 @@ _COUNTS = f"c AS (SELECT doc_id, source, len({_WORDS}) AS size, CASE WHEN len({_
 
 def cataloged(spark, d) -> DataFrame:
     """Documents as files to ingest: their number of windows of 10 words, and their status."""
-    docs = words(table(spark, d, "documents"))
-    n = F.when(F.size("words") >= 10, F.least(F.lit(21), F.size("words") - 9)).otherwise(0)
-    return docs.withColumn("n_windows", n).withColumn("status", F.when(n > 0, "done").otherwise("short"))
+    docs = table(spark, d, "documents").withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)))
+    n = F.when(F.col("n_words") >= 10, F.least(F.lit(21), F.col("n_words") - 9)).otherwise(0)
+    return docs.withColumn("n_windows", n).withColumn("status", F.when(F.col("n_words") >= 10, "done").otherwise("short"))
 
 
 @query(f"WITH {_COUNTS} SELECT CASE WHEN n_windows > 0 THEN 'done' ELSE 'short' END AS status, count(*) AS n, coalesce(sum(n_windows), 0)::bigint AS windows FROM c GROUP BY 1")
@@ -260,8 +274,11 @@ def layout_expand(spark, d):
 
 @query(f"WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), e AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) >= 10 THEN least(21, len(ws) - 9) ELSE 0 END)) AS win FROM w) SELECT doc_id, win::int AS win, md5(array_to_string(ws[win + 1 : win + 10], ' ')) AS digest FROM e")
 def doc_windows(spark, d):
-    docs = words(table(spark, d, "documents")).select("doc_id", F.posexplode(V.windows("words", 10, 1)).alias("win", "w"))
-    return docs.select("doc_id", "win", F.md5(F.array_join("w", " ")).alias("digest"))
+    docs = words(table(spark, d, "documents")).select("doc_id", "words")
+    count = F.when(F.size("words") >= 10, F.least(F.lit(21), F.size("words") - 9)).otherwise(0)
+    # rows are made before windows, so that a text is split once and not once a window
+    each = docs.select("doc_id", "words", F.explode(F.sequence(F.lit(1), count)).alias("at")).filter("at >= 1 and size(words) >= 10")
+    return each.select("doc_id", (F.col("at") - 1).alias("win"), F.md5(F.array_join(F.slice("words", F.col("at"), 10), " ")).alias("digest"))
 
 
 @query("SELECT d.doc_id, d.lang, coalesce(l.quality::varchar, '(none)') AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)")
@@ -281,10 +298,22 @@ def reuse_join(spark, d):
     return s.join(f, "sha").select("doc_id", "source_id", F.when(F.col("source_id") < F.col("doc_id"), "copied").otherwise("pending").alias("status"))
 
 
-@query("WITH old AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer), new AS (SELECT s_suppkey AS k, 'supplier' AS v FROM supplier) SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM old o FULL JOIN new n ON o.k = n.k")
+_LAST_ORDER = "o AS (SELECT o_custkey AS k, o_orderpriority AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS w FROM orders), new AS (SELECT k, v FROM o WHERE w = 1)"
+
+
+@query(f"WITH old AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer), {_LAST_ORDER} SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM old o FULL JOIN new n ON o.k = n.k")
 def meta_upsert(spark, d):
+    """Keys that new rows repeat take the last one's value."""
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
-    return upserted(old, table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("v")), "k")
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("v"))
+    return upserted(old, new, "k", "at")
+
+
+@query(f"WITH {_LAST_ORDER} SELECT c_custkey AS track_id, coalesce(v, '(none)') AS genre FROM customer LEFT JOIN new ON k = c_custkey")
+def last_update_join(spark, d):
+    """An update by key: of several the last counts, ids that the catalog lacks are ignored, rows without an update keep their default."""
+    new = last_of(table(spark, d, "orders").select(F.col("o_custkey").alias("track_id"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("genre")), "track_id", "at")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("track_id")).join(new, "track_id", "left").select("track_id", F.coalesce("genre", F.lit("(none)")).alias("genre"))
 
 
 @query("WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), b AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) SELECT coalesce(a.k, b.k) AS k, a.v AS was, b.v AS now FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
@@ -295,11 +324,14 @@ def drift_check(spark, d):
     return a.join(b, "k", "full").filter(~F.col("was").eqNullSafe(F.col("now")))
 
 
-@query("SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', doc_id, lang, source, text)), 1, 8))::ubigint)::bigint AS digest FROM documents")
+@query("WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, concat_ws('|', doc_id, lang, source, text) AS line FROM documents) SELECT count(*) AS n, sum(('0x' || substr(md5(place || ':' || line), 1, 15))::ubigint::hugeint)::varchar AS digest FROM r")
 def table_digest(spark, d):
-    """A sum of row digests: any changed, missing or added row shows, and no order or single task is needed."""
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text")), 1, 8), 16, 10).cast("long")
-    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.sum(row).alias("digest"))
+    """A digest of rows in id order: 60 bits of each row together with its place add up, so a changed, missing, added or moved
+    row shows, and the rows need not pass through one task."""
+    docs = numbered(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "place", "doc_id")
+    line = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text")
+    own = F.conv(F.substring(F.md5(F.concat(F.col("place").cast("string"), F.lit(":"), line)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return docs.agg(F.count("*").alias("n"), F.sum(own).cast("string").alias("digest"))
 
 
 @query(f"WITH {SEG}, g AS (SELECT track_id, count(*) AS n, min(win) AS lo, max(win) AS hi, round(min(sqrt(list_dot_product(v, v))), 6) AS min_norm, round(max(sqrt(list_dot_product(v, v))), 6) AS max_norm FROM seg GROUP BY 1) SELECT track_id, n, min_norm, max_norm, n = hi - lo + 1 AND lo = 0 AS whole FROM g")
@@ -333,13 +365,8 @@ def set_difference_sizes(spark, d):
 
 @query(f"WITH {_COUNTS} SELECT doc_id, (sum(n_windows) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_windows)::bigint AS row_offset FROM c")
 def running_offsets(spark, d):
-    """Exclusive running sum in id order: within range partitions, plus what those before hold (a row each)."""
-    own = cataloged(spark, d).select("doc_id", "n_windows").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    sums = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = own.groupBy("part").agg(F.sum("n_windows").alias("s"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    base = base.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    return own.withColumn("inner", F.coalesce(F.sum("n_windows").over(sums), F.lit(0))).join(F.broadcast(base), "part").select("doc_id", (F.col("inner") + F.col("base")).alias("row_offset"))
+    """Exclusive running sum in id order."""
+    return running(cataloged(spark, d).select("doc_id", "n_windows"), "row_offset", F.col("n_windows"), "doc_id").select("doc_id", "row_offset")
 
 
 @query("SELECT event_id, floor(value)::bigint // 60 || ':' || lpad((floor(value)::bigint % 60)::varchar, 2, '0') AS clock FROM events WHERE value >= 0")
@@ -424,14 +451,16 @@ def chance_unbiased(spark, d):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(1000.0 / avg(value), 6) AS per_second FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
-    e = table(spark, d, "events").groupBy("event_type")
-    return e.agg(*[F.percentile("value", p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))], F.round(1000.0 / F.avg("value"), 6).alias("per_second"))
+    e = table(spark, d, "events")
+    speed = e.groupBy("event_type").agg(F.round(1000.0 / F.avg("value"), 6).alias("per_second"))
+    return quantiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "event_id").join(speed, "event_type")
 
 
 @query("WITH p AS (SELECT event_type, event_id % 3 AS pass, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1, 2) SELECT event_type, quantile_cont(p95, 0.5) AS median_p95 FROM p GROUP BY 1")
 def pass_medians(spark, d):
-    p = table(spark, d, "events").groupBy("event_type", (F.col("event_id") % 3).alias("pass")).agg(F.percentile("value", 0.95).alias("p95"))
-    return p.groupBy("event_type").agg(F.percentile("p95", 0.5).alias("median_p95"))
+    e = table(spark, d, "events").withColumn("pass", F.col("event_id") % 3)
+    p = quantiles(e, ["event_type", "pass"], "value", {"p95": 0.95}, "event_id")
+    return p.groupBy("event_type").agg(F.percentile("p95", 0.5).alias("median_p95"))  # three passes
 
 
 @query("WITH p AS (SELECT DISTINCT p_size, p_retailprice FROM part) SELECT a.p_size, a.p_retailprice FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))")
@@ -455,6 +484,18 @@ def band_accuracy(spark, d):
     return table(spark, d, "lineitem").groupBy(band.alias("band")).agg(F.count("*").alias("trials"), won.alias("correct"), (won / F.count("*")).alias("accuracy"))
 
 
+def tail(n: Column, k: Column) -> Column:
+    """P(at least k of n fair trials); terms as logarithms, so that many trials don't underflow."""
+    start = n * F.lit(-math.log(2.0))
+
+    def add(s, i):
+        c = s["c"] + F.log((n - i + 1) / i)
+        return F.named_struct(F.lit("c"), c, F.lit("s"), s["s"] + F.when(i >= k, F.exp(c)).otherwise(F.lit(0.0)))
+
+    first = F.named_struct(F.lit("c"), start, F.lit("s"), F.when(k <= 0, F.exp(start)).otherwise(F.lit(0.0)))
+    return F.aggregate(F.sequence(F.lit(1), n), first, add, lambda s: s["s"])
+
+
 _TAIL = "WITH g AS (SELECT o_orderpriority AS g, (count(*) % 60 + 1)::int AS n, (count(*) % 60 // 2)::int AS k FROM orders GROUP BY 1)"
 
 
@@ -465,13 +506,7 @@ _TAIL = "WITH g AS (SELECT o_orderpriority AS g, (count(*) % 60 + 1)::int AS n,
 def binomial_tail(spark, d):
     """P(at least k of n fair trials), term by term from the one before."""
     g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g")).agg((F.count("*") % 60 + 1).cast("int").alias("n"), F.expr("cast(count(*) % 60 div 2 as int)").alias("k"))
-    first = F.named_struct(F.lit("c"), F.pow(F.lit(0.5), F.col("n")), F.lit("s"), F.when(F.col("k") <= 0, F.pow(F.lit(0.5), F.col("n"))).otherwise(F.lit(0.0)))
-
-    def add(s, i):
-        c = s["c"] * (F.col("n") - i + 1) / i
-        return F.named_struct(F.lit("c"), c, F.lit("s"), s["s"] + F.when(i >= F.col("k"), c).otherwise(F.lit(0.0)))
-
-    return g.select("g", "n", "k", F.round(F.aggregate(F.sequence(F.lit(1), F.col("n")), first, add, lambda s: s["s"]), 6).alias("p"))
+    return g.select("g", "n", "k", F.round(tail(F.col("n"), F.col("k")), 6).alias("p"))
 
 
 @query(
@@ -506,20 +541,25 @@ def hnsw_levels(spark, d):
     return segments(spark, d).select("row_id", V.level(SEED, "row_id", M).alias("level"))
 
 
-def index(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the graph over all windows, written once."""
-    from quern.sources.store import written
-
+def placed(spark, d) -> DataFrame:
+    """All windows, dealt out to shards."""
     segs = segments(spark, d)
-    nodes = graph.sharded(segs, graph.shard_count(segs.count())).select("shard", "row_id", V.level(SEED, "row_id", M).alias("level"), "vector")
-    return nodes, written(graph.build(nodes, M), "edges")
+    return graph.sharded(segs, graph.shard_count(segs.count())).select("shard", "row_id", "vector")
+
+
+def index(spark, d) -> DataFrame:
+    """The graph over all windows, written once."""
+    return store.written(graph.build(placed(spark, d), M), "graph")
+
+
+def widest(nodes: DataFrame) -> int:
+    return int(nodes.groupBy("shard").count().agg(F.max("count")).first()[0])
 
 
 @query()
 def hnsw_recall(spark, d):
-    """recall@10 of the beam search at ef 64 against exact search, and its distance evaluations."""
-    nodes, edges = index(spark, d)
-    found = graph.search(nodes, edges, queries_of(segments(spark, d)), K, 64, M)
+    """recall@10 of the beam search at ef 64 against exact search, and the distances that it computed in all shards."""
+    found = store.written(graph.search(index(spark, d), queries_of(segments(spark, d)), K, 64, M), "hits")
     work = found.groupBy("query_row").agg(F.max("evaluations").alias("evaluations"))
     return recall(hits(spark, d, "row", "self"), found, K).join(work, "query_row")
 
@@ -527,59 +567,122 @@ def hnsw_recall(spark, d):
 @query(SQL["segment_topk_self_excl"])
 def hnsw_fullbeam_topk(spark, d):
     """A beam as wide as a shard finds what exact search finds."""
-    nodes, edges = index(spark, d)
-    widest = nodes.groupBy("shard").count().agg(F.max("count")).first()[0]
-    return graph.search(nodes, edges, queries_of(segments(spark, d)), K, int(widest), M).select("query_row", "rank", "row_id", "score")
+    nodes = index(spark, d)
+    return graph.search(nodes, queries_of(segments(spark, d)), K, widest(nodes), M).select("query_row", "rank", "row_id", "score")
 
 
-@query()
-def overfetch_dedupe(spark, d):
-    """Tracks from an index of windows: more windows are fetched until k tracks are found or the shards are exhausted."""
-    nodes, edges = index(spark, d)
-    segs = segments(spark, d)
-    asked, n, want = queries_of(segs), segs.count(), 50
+def tracks_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best tracks other than the query's, each by its best window."""
+    others = found.withColumn("track_id", F.expr(f"row_id div {WINDOWS}")).filter(F.col("track_id") != F.expr(f"query_row div {WINDOWS}")).drop("rank")
+    once = best_of(others, ["query_row", "track_id"], [F.desc("score"), F.col("row_id")], 1, "w").drop("w")
+    return best_of(once, ["query_row"], [F.desc("score"), F.col("row_id")], k).select("query_row", "rank", "track_id", "row_id", "score")
+
+
+def overfetched(nodes: DataFrame, asked: DataFrame, k: int, want: int = 50) -> DataFrame:
+    """k tracks for each query from an index of windows. Queries that `want` windows leave short search again for four times as
+    many, until they have k or have seen the whole index; those that have k are done."""
+    n, parts = nodes.count(), []
     while True:
-        found = graph.search(nodes, edges, asked, want, max(64, want), M).withColumn("track_id", F.expr("row_id div 5")).filter("track_id <> query_row div 5")
-        tracks = best_of(best_of(found.drop("rank"), ["query_row", "track_id"], [F.desc("score"), F.col("row_id")], 1, "w").drop("w"), ["query_row"], [F.desc("score"), F.col("row_id")], K)
-        short = tracks.groupBy("query_row").count().filter(F.col("count") < K)
-        if want >= n or short.isEmpty():
-            return tracks.select("query_row", "rank", "track_id", "row_id", "score")
+        tracks = store.written(tracks_of(graph.search(nodes, asked, want, max(64, want), M), k), "tracks")
+        full = tracks.groupBy("query_row").count().filter(F.col("count") >= k).select("query_row")
+        last = want >= n
+        parts.append(tracks if last else tracks.join(full, "query_row", "left_semi"))
+        asked = store.written(asked.join(full.withColumnRenamed("query_row", "row_id"), "row_id", "left_anti"), "asked")
+        if last or asked.isEmpty():
+            break
         want = min(n, want * 4)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query()
+def overfetch_dedupe(spark, d):
+    return overfetched(index(spark, d), queries_of(segments(spark, d)), K)
+
 
+@query(f"WITH {SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY sim DESC, row_id) AS w FROM sims WHERE row_id <> query_row), b AS (SELECT query_row, track_id, row_id, sim, row_number() OVER (PARTITION BY query_row, track_id ORDER BY sim DESC, row_id) AS t FROM r WHERE w <= 12 AND track_id <> query_track), k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY sim DESC, row_id) AS rank FROM b WHERE t = 1) SELECT query_row, rank::int AS rank, track_id, row_id, sim AS score FROM k WHERE rank <= 10")
+def ann_track_hits(spark, d):
+    """Tracks among 12 windows from the index, not widened: there may be fewer than k."""
+    nodes = index(spark, d)
+    return tracks_of(graph.search(nodes, queries_of(segments(spark, d)), 12, widest(nodes), M), K)
 
-@query("SELECT NULL::varchar AS problem, NULL::bigint AS n WHERE false")
+
+@query("SELECT 'rows' AS what, (SELECT count(*) FROM embeddings) AS n UNION ALL SELECT 'broken rules', 0 UNION ALL SELECT 'misshapen rows', 0")
 def hnsw_validate(spark, d):
-    """Broken rules of the built graph: none."""
-    return graph.problems(*index(spark, d), M)
+    """Rows of the built graph, and what is wrong with it."""
+    nodes = index(spark, d)
+    kinds = {"rows": nodes, "broken rules": graph.problems(nodes, graph.edges(nodes), M), "misshapen rows": graph.misshapen(nodes)}
+    out = None
+    for name, df in kinds.items():
+        one = df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """WITH nodes AS (SELECT n_regionkey AS shard, n_nationkey AS row_id, n_nationkey % 3 AS level, n_nationkey % 7 = 0 AS entry FROM nation),
+ base AS (SELECT n_regionkey AS shard, (j % 4) - 1 AS layer, n_nationkey AS src, (n_nationkey + j * 5) % 27 AS dst, n_nationkey, j FROM nation, range(0, 8) AS r(j)),
+ links AS (SELECT shard, layer, src, dst FROM base UNION ALL SELECT shard, layer, src, dst FROM base WHERE n_nationkey % 5 = 0 AND j = 1),
+ ends AS (SELECT l.*, a.level AS sl, b.level AS dl FROM links l LEFT JOIN nodes a ON a.shard = l.shard AND a.row_id = l.src LEFT JOIN nodes b ON b.shard = l.shard AND b.row_id = l.dst),
+ found AS (SELECT 'link of an unknown node' AS problem, count(*) FILTER (sl IS NULL OR dl IS NULL) AS n FROM ends
+ UNION ALL SELECT 'link above a node''s level', count(*) FILTER (layer > sl OR layer > dl OR layer < 0) FROM ends
+ UNION ALL SELECT 'link to itself', count(*) FILTER (src = dst) FROM ends
+ UNION ALL SELECT 'link twice', count(*) FROM (SELECT 1 FROM links GROUP BY shard, layer, src, dst HAVING count(*) > 1)
+ UNION ALL SELECT 'too many links', count(*) FROM (SELECT 1 FROM links GROUP BY shard, layer, src HAVING count(*) > CASE WHEN layer = 0 THEN 2 ELSE 1 END)
+ UNION ALL SELECT 'entry not one node of the highest level', count(*) FROM (SELECT 1 FROM nodes GROUP BY shard HAVING count(*) FILTER (entry) <> 1 OR coalesce(max(CASE WHEN entry THEN level END) < max(level), true)))
+ SELECT problem, n FROM found WHERE n > 0"""
+)
+def malformed_graph(spark, d):
+    """What validation says of a graph that breaks the rules: nations as nodes, linked by arithmetic."""
+    nation = table(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("long"))
+    nodes = nation.select(F.col("n_regionkey").alias("shard"), F.col("n_nationkey").alias("row_id"), (F.col("n_nationkey") % 3).alias("level"), (F.col("n_nationkey") % 7 == 0).alias("entry"))
+    base = nation.select("n_nationkey", F.col("n_regionkey").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    base = base.select("shard", ((F.col("j") % 4) - 1).alias("layer"), F.col("n_nationkey").alias("src"), F.col("j").alias("pos"), ((F.col("n_nationkey") + F.col("j") * 5) % 27).alias("dst"))
+    return graph.problems(nodes, base.unionByName(base.filter("src % 5 = 0 and pos = 1")), 1)
 
 
 @query()
 def bfs_order(spark, d):
-    from quern.sources.store import written
-
-    nodes, edges = index(spark, d)
-    starts = best_of(nodes.select("shard", "row_id", "level"), ["shard"], [F.desc("level"), F.col("row_id")], 1).select("shard", "row_id")
-    return graph.bfs(edges, starts, lambda df: written(df, "bfs"))
+    nodes = index(spark, d)
+    return graph.bfs(nodes, graph.edges(nodes), lambda df: store.written(df, "bfs"))
 
 
 @query()
 def relabel_edges(spark, d):
-    """Edges with their ends renamed by breadth-first rank; nodes that it does not reach follow in id order."""
-    nodes, edges = index(spark, d)
-    order = bfs_order(spark, d).select("shard", F.col("node").alias("row_id"), "rank")
-    perm = nodes.select("shard", "row_id").join(order, ["shard", "row_id"], "left")
-    place = Window.partitionBy("shard").orderBy(F.col("rank").asc_nulls_last(), "row_id")
-    perm = perm.select("shard", "row_id", (F.row_number().over(place) - 1).alias("new"))
-    src, dst = (perm.withColumnsRenamed({"row_id": c, "new": f"new_{c}"}) for c in ("src", "dst"))
-    return edges.join(src, ["shard", "src"]).join(dst, ["shard", "dst"]).select("shard", "layer", F.col("new_src").alias("src"), "pos", F.col("new_dst").alias("dst"))
+    """Links with their ends renamed by breadth-first rank."""
+    nodes = index(spark, d)
+    links = store.written(graph.edges(nodes), "links")
+    return graph.permuted(nodes.select("shard", "row_id", "level", "entry"), links, graph.bfs(nodes, links, lambda df: store.written(df, "bfs")))[1]
 
 
 @query()
 def page_locality(spark, d):
-    """Mean number of distinct pages of 4096 bytes that a neighbourhood's vectors lie on."""
-    _, edges = index(spark, d)
-    pages = edges.filter("layer = 0").groupBy("shard", "src").agg(F.countDistinct(F.floor(F.col("dst") * 256 / 4096)).alias("pages"))
-    return pages.agg(F.round(F.avg("pages"), 6).alias("mean_pages"), F.count("*").alias("nodes"))
+    """Pages of 4096 bytes that a neighbourhood's vectors lie on, laid out by id and by breadth-first rank."""
+    nodes = index(spark, d)
+    links = store.written(graph.edges(nodes), "links")
+    by_id = nodes.select("shard", F.col("row_id").alias("node"), (F.row_number().over(Window.partitionBy("shard").orderBy("row_id")) - 1).alias("rank"))
+    by_bfs = graph.bfs(nodes, links, lambda df: store.written(df, "bfs")).select("shard", "node", "rank")
+    size = 4 * nodes.agg(F.max(F.size("vector"))).first()[0]  # as 32-bit floats
+    return graph.locality(links, by_id, size).withColumn("layout", F.lit("id")).unionByName(graph.locality(links, by_bfs, size).withColumn("layout", F.lit("breadth first")))
+
+
+@query()
+def hnsw_sweep(spark, d):
+    """Recall and computed distances by links a node and widths of the beams."""
+    truth = store.written(hits(spark, d, "row", "self").select("query_row", "row_id"), "truth")
+    return graph.sweep(store.written(placed(spark, d), "placed"), queries_of(segments(spark, d)), truth, K, (6, 12), (40, 80), (16, 64))
+
+
+@query(SQL["segment_topk_self_excl"])
+def stored_graph_topk(spark, d):
+    """A graph that is built in waves, stopped after the first, taken up again, and loaded back with its sources checked."""
+    nodes, path = store.written(placed(spark, d), "placed"), store.fresh_path(spark, "stored")
+    graph.build_stored(spark, nodes, path, M, at_once=2, stop_after=1)
+    graph.build_stored(spark, nodes, path, M, at_once=2)
+    kept = graph.load_stored(spark, nodes, path, M, at_once=2)
+    return graph.search(kept, queries_of(segments(spark, d)), K, widest(kept), M).select("query_row", "rank", "row_id", "score")
 
 
 @query("SELECT doc_id AS track_id, 'done' AS status, sha256(text) AS sha FROM documents")
