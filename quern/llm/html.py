@@ -6,8 +6,11 @@ every element exactly, in time linear in the page. Weights maximise the likeliho
 same marginals. The labelled pages come from layout rules below (`labelled_pages`): articles in several containers among menus,
 headers, footers, sidebars, notices, adverts, forms and comments.
 
-Text belongs to the nearest block element around it and is kept where that element's marginal is at least 0.5. Null, empty and
-text-free pages give an empty text; a tag or comment that the page's end cuts off is no text; repeated rows stay.
+Text belongs to the nearest element around it that is a block or has a name (class, id, role) and is kept where that element's
+marginal is at least 0.5; elements within a line, named or not, don't end it. Text that a browser doesn't show (the `hidden`
+attribute, closed dialogs, styles that hide) is no text. Attributes are never read as labels outside of training. Null, empty
+and text-free pages give an empty text; a tag or comment that the page's end cuts off is no text; elements that are never closed
+end with the page; repeated rows and ids stay; columns other than page_id, url and html are left behind.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ SECTIONS = frozenset("form nav aside footer header section article main".split()
 SCOPE = frozenset("ul ol dl table td th body html article div section".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -46,10 +50,11 @@ class Block:
     tag: str
     parent: int
     names: tuple[str, ...]
-    label: int | None
+    #: The attribute `data-label` as it stands, the parent's where there is none; only training reads a meaning into it.
+    mark: str | None
     hidden: bool
-    #: Runs of text, by their place in the page.
-    runs: dict[int, list[str]] = field(default_factory=lambda: defaultdict(list))
+    #: Runs of text, by their line and their place in the page.
+    runs: dict[tuple[int, int], list[str]] = field(default_factory=lambda: defaultdict(list))
     chars: int = 0
     linked: int = 0
     stops: int = 0
@@ -59,26 +64,27 @@ def blocks(page: str) -> list[Block]:
     """The page's block elements, each after its parent; the first is the document."""
     found = [Block("#document", -1, (), None, False)]
     stack: list[tuple[str, int]] = [("#document", 0)]  # open elements with the block that their text goes to
-    links = at = run = 0
+    links = at = run = line = 0
     end = len(page)
 
     def say(raw: str) -> None:
         block = found[stack[-1][1]]
         if raw and not block.hidden:
             text = entities.unescape(raw) if "&" in raw else raw
-            block.runs[run].append(text)
+            block.runs[line, run].append(text)
             n = len(text.strip())
             block.chars += n
             block.linked += n * (links > 0)
             block.stops += text.count(". ") + text.count(".")
 
     def close(to: int) -> None:
-        nonlocal links, run
+        nonlocal links, run, line
         while len(stack) > to:
             name, b = stack.pop()
             links -= name == "a"
             if b != stack[-1][1]:
                 run += 1
+                line += name not in INLINE
 
     while at < end:
         m = TAG.search(page, at)
@@ -112,7 +118,7 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in CLOSES[name]:
                 close(k)
                 break
-        marks = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+        marks = {a.lower(): b or c or d for a, b, c, d in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}  # the first of equal names counts
         names = tuple(dict.fromkeys(t.lower() for a in ("class", "id", "role") for t in TOKEN.findall(marks.get(a, ""))))
         if name == "br":
             say(" ")
@@ -120,12 +126,13 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         parent = stack[-1][1]
-        if name in INLINE and not names and name not in HIDDEN:
+        unseen = name in HIDDEN or "hidden" in marks or (name == "dialog" and "open" not in marks) or bool(UNSEEN.search(marks.get("style", "")))
+        if name in INLINE and not names and not unseen:
             stack.append((name, parent))
         else:
             run += 1
-            label = int(marks["data-label"]) if "data-label" in marks else found[parent].label
-            found.append(Block(name, parent, names, label, found[parent].hidden or name in HIDDEN))
+            line += name not in INLINE
+            found.append(Block(name, parent, names, marks.get("data-label", found[parent].mark), found[parent].hidden or unseen))
             stack.append((name, len(found) - 1))
         links += name == "a"
         if name in RAW:
@@ -160,7 +167,7 @@ class TreeModel:
     def potentials(self, tree: list[Block], own: list[tuple[str, ...]]) -> tuple[list[float], list[list[list[float]]]]:
         get = self.weight.get
         both = {k: [[self.edge[p][c] + e[p][c] for c in (0, 1)] for p in (0, 1)] for k, e in self.kinds.items()}
-        return [sum([get(f, 0.0) for f in fs]) for fs in own], [both.get(kind(b), self.edge) for b in tree]
+        return [sum([get(f, 0.0) for f in fs]) for fs in own], [APART if b.hidden else both.get(kind(b), self.edge) for b in tree]
 
     def marginals(self, tree: list[Block], own: list[tuple[str, ...]]) -> tuple[list[float], list[list[float]]]:
         """P(content) of every block, and P(parent's label, own label) as [00, 01, 10, 11]."""
@@ -193,6 +200,10 @@ class TreeModel:
         return content, pair
 
 
+#: What is hidden tells nothing about what is around it.
+APART = [[0.0, 0.0], [0.0, 0.0]]
+
+
 def kind(b: Block) -> str:
     """Elements whose label tells less about their parent's: those with a name, and sections of a page."""
     return "named" if b.names else b.tag if b.tag in SECTIONS else ""
@@ -206,6 +217,11 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > 0 else math.exp(x) / (1 + math.exp(x))
 
 
+def label(b: Block) -> int:
+    """What a labelled page says of a block: content where the mark is 1."""
+    return int(b.mark == "1")
+
+
 def train(pages: list[str], rounds: int = 80, rate: float = 0.6, decay: float = 2e-4) -> TreeModel:
     """Weights by gradient steps on the likelihood of the labels (data-label attributes; what has none inherits)."""
     model = TreeModel({}, [[0.5, -0.5], [-0.5, 0.5]], {})
@@ -218,9 +234,9 @@ def train(pages: list[str], rounds: int = 80, rate: float = 0.6, decay: float =
             content, pair = model.marginals(tree, own)
             for i, (b, fs) in enumerate(zip(tree, own, strict=True)):
                 for f in fs:
-                    slope[f] += (b.label or 0) - content[i]
-                if i:
-                    seen = 2 * (tree[b.parent].label or 0) + (b.label or 0)
+                    slope[f] += label(b) - content[i]
+                if i and not b.hidden:
+                    seen = 2 * label(tree[b.parent]) + label(b)
                     for k in range(4):
                         d = (k == seen) - pair[i][k]
                         edges["", k] += d
@@ -256,8 +272,11 @@ def labelled_pages(n: int = 120, seed: int = 7) -> list[str]:
             kind = r.random()
             if kind < 0.72:
                 parts.append(f"<p>{words(*size)}</p>")
-            elif kind < 0.78:
+            elif kind < 0.75:
                 parts.append(f"<p>{words(*size)} <a href=/y>{words(1, 3)}</a> {words(1, 9)}")
+            elif kind < 0.79:
+                name = r.choice("term highlight name lead dropcap emphasis quote date place caps small".split())
+                parts.append(f'<p>{words(1, 9)} <{(t := r.choice(["span", "em", "a", "code"]))} class="{name}">{words(1, 4)}</{t}> {words(*size)}</p>')
             elif kind < 0.84:
                 parts.append(f"<ul>{items(r.randint(1, 5), False)}</ul>")
             elif kind < 0.9:
@@ -313,11 +332,11 @@ def trained() -> TreeModel:
 def main_text(page: str, model: TreeModel) -> str:
     tree = blocks(page)
     content, _ = model.marginals(tree, features(tree))
-    found = []
-    for b, p in zip(tree, content, strict=True):
-        if p >= 0.5 and not b.hidden:
-            found += [(k, text) for k, parts in b.runs.items() if (text := " ".join("".join(parts).split()))]
-    return "\n".join(text for _, text in sorted(found))
+    kept = sorted((place, "".join(parts)) for b, p in zip(tree, content, strict=True) if p >= 0.5 and not b.hidden for place, parts in b.runs.items())
+    lines: dict[int, list[str]] = {}
+    for (line, _), text in kept:
+        lines.setdefault(line, []).append(text)
+    return "\n".join(text for parts in lines.values() if (text := " ".join("".join(parts).split())))
 
 
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
