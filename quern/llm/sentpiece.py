@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from quern.llm.common import sliced, strings, texts
 
@@ -301,6 +302,18 @@ def round_trip(df: DataFrame, model: str) -> DataFrame:
     return texts(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def same_text(df: DataFrame) -> DataFrame:
-    """Rows of the round trip whose decoded text is not the text itself (models that normalise lose some)."""
-    return df.filter(F.col("decoded_sha256") != F.sha2(F.col("text"), 256))
+def encoded(df: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256 of every row, and `document`: a struct of all columns of df but the
+    text, in which no name can clash with ours."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), rows.schema["document"]])
+
+    def run(batches):
+        e = encoder(model)
+        for b in sliced(batches, "text", 4 << 20):
+            docs = strings(b.column("text"))
+            n, a, c = e.digests(docs)
+            ids = pa.array(e.encode(docs), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string()), b.column("document")], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -82,11 +82,76 @@ def test_toxicity_held_out(spark):
     assert sum(a != b for a, b in rows) <= 0.01 * len(rows) and sum(a for a, _ in rows) > 20
 
 
-def test_grammar():
+def kinds(text):
     m = toxicity.Matcher({"idiot": 1.0, "lowei": 1.0})
-    of = lambda t: [k for k, v in zip(toxicity.KINDS, m.features(t), strict=False) if v]
-    assert of("an idiot") == ["I"] and of("you idiot") == ["J"] and of("not an idiot") == ["n"] and of("he said an idiot") == ["r"]
-    assert of("the loweitum") == ["I"] and of("not here. an idiot") == ["I"]
+    return "".join(k for k, v in zip(toxicity.KINDS, m.features(text), strict=False) if v)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("an idiot", "I"), ("you idiot", "J"), ("idiot you are", "J"), ("not an idiot", "n"), ("he said an idiot", "r"), ("the loweitum", "I"), ("not here. an idiot", "I"),
+        ("I will kill you", "U"), ("kill you now", "U"), ("kill you", "U"), ("you, kill", "U"), ("kill time", ""), ("don't kill you", "n"), ("I won’t hurt you", "n"),
+        ('"You idiot", he said', "r"), ('"You idiot!" she said.', "r"), ("“Idiot.” That is what she called me.", "r"), ('"You idiot!" Nothing else.', "J"), ("You idiot! she said.", "J"),
+        ("idiot one two three four five you", "I"), ("not one two three four five an idiot", "I"), ("", ""), ("!!!", ""),
+    ],
+)
+def test_grammar(text, kind):
+    assert kinds(text) == kind
+
+
+def test_grammar_on_all_short_clauses():
+    """Machines against the rules said directly: within REACH a target on either side aims, a negation before negates, and a
+    report anywhere in the clause but for the word itself reports; the later rule wins."""
+    from itertools import product
+
+    machines, reach = toxicity.grammar(), 2
+    held, toxicity.REACH = toxicity.REACH, reach
+    try:
+        machines = toxicity.grammar()
+    finally:
+        toxicity.REACH = held
+    for n in range(7):
+        for clause in map("".join, product("OITSNR", repeat=n)):
+            want, weights = [], []
+            for i, s in enumerate(clause):
+                out, w = s, 0.0
+                if s in "IT":
+                    if "S" in clause[max(0, i - reach) : i + reach + 1]:
+                        out, w = {"I": "J", "T": "U"}[s], w + toxicity.AIMED
+                    reported_later = "R" in clause[i + 1 :]
+                    if reported_later:
+                        # read from the end first: what is reported there is neither aimed from the left nor negated
+                        aimed = "S" in clause[i + 1 : i + reach + 1]
+                        out, w = "r", toxicity.REPORTED + (toxicity.AIMED if aimed else 0.0)
+                    else:
+                        if "N" in clause[max(0, i - reach) : i]:
+                            out, w = "n", w + toxicity.NEGATED
+                        if "R" in clause[:i]:
+                            out, w = "r", w + toxicity.REPORTED
+                want.append(out)
+                weights.append(w)
+            got, paths = toxicity.rewritten(machines, clause)
+            assert got == "".join(want), clause
+            assert np.allclose(paths, weights), clause
+
+
+def test_learning_is_bounded_whatever_repeats(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id % 2 as doc_id", "repeat(concat('word', id % 50, ' '), 10) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, labels, F.lit(True))) == 50
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    assert len(toxicity.training_rows(docs, labels, F.lit(True))) == 20
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200)
+    assert 1 <= len(toxicity.training_rows(docs, labels, F.lit(True))) <= 4
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1)
+    assert toxicity.training_rows(docs, labels, F.lit(True)) == []
+
+
+def test_toxicity_of_very_long_texts(spark):
+    m = toxicity.Matcher({"idiot": 1.0})
+    assert m.features("you idiot. " * 200_000)[1] == pytest.approx(math.log1p(200_000))
+    assert m.features("word " * 500_000 + "idiot") [0] > 0
 
 
 def test_toxicity_odd(spark, odd, none):
