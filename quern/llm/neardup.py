@@ -413,7 +413,7 @@ def one_of_each(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows and columns of df, of each class only the row with the smallest doc_id (of rows equal in it, one)."""
     kept = classes(df, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # of several texts of a class with that id, and of repeated rows, one stays; other classes may have the same id, or none
-    kept = saved(kept.groupBy("root").agg(F.min("class_id").alias("_kept_id"), F.min("id").alias("_kept_text"), F.count("*").alias("_kept_rows")), "kept")
+    kept = saved(kept.groupBy("root").agg(F.min("class_id").alias("_kept_id"), F.min("id").alias("_kept_text"), F.count("*").alias("_kept_rows")).drop("root"), "kept")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_kept_text"))
     out = df.join(kept, same)
     if not kept.filter("_kept_rows > 1").isEmpty():
