@@ -1,7 +1,8 @@
 """Cleaning of a training corpus: toxicity, near duplicates, benchmark passages, secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. `run` writes each stage's rows to the
-shared folder and reads them back for the next. Null and empty texts are clean and stay; extra columns pass through.
+shared folder and reads them back for the next. Null and empty texts are clean and stay; extra columns pass through unchanged,
+whatever their names; the last stage has them in the struct `document`, beside each text's token ids.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentpiece.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentpiece.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_near_copies), ("decontamination", drop_benchmark), ("secrets", remove_secrets), ("sentencepiece", encode)]
