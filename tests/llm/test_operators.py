@@ -180,24 +180,112 @@ def test_language_model(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_unit_gradients_and_state():
-    u = lm.Unit(7, 4)
+def small_unit():
+    u = lm.Unit(np.array([5.0, 50, 40, 30, 20, 10, 9, 8, 7]), 11.0, hidden=4, classes=3)
     u.p = {k: v.astype(np.float64) for k, v in u.p.items()}
-    given, target = np.array([[0, 3], [2, 0], [1, 4]]), np.array([[2, 0], [1, 4], [5, 6]])
-    h = np.zeros((2, 4))
-    _, _, grad = u.window(h, given, target)
-    for key in u.p:
-        flat = u.p[key].ravel()
-        for at in (0, len(flat) // 2):
-            keep = flat[at]
-            flat[at] = keep + 1e-5
-            up = u.window(h, given, target)[0]
-            flat[at] = keep - 1e-5
-            down = u.window(h, given, target)[0]
-            flat[at] = keep
-            assert abs((up - down) / 2e-5 - grad[key].ravel()[at]) < 1e-5
-    docs = [np.array([2, 3, 1] * 30 + [0]), np.array([0])]
-    assert np.allclose(u.log_likelihood(docs, span=8), u.log_likelihood(docs, span=64), atol=1e-5)
+    return u
+
+
+def test_unit_gradients():
+    u = small_unit()
+    assert 2 < len(u.first) and max(np.diff(u.first)) > 1
+    given, target = np.array([[0, 3], [2, 0], [1, 9], [8, 8]]), np.array([[2, 0], [1, 9], [8, 8], [7, 6]])
+    h = np.random.default_rng(1).normal(size=(2, 4))
+    for weigh in (None, np.array([[1, 1], [1, 0], [1, 1], [0, 1]], float)):
+        _, _, grad = u.window(h, given, target, weigh)
+        for key in u.p:
+            flat = u.p[key].ravel()
+            for at in range(0, len(flat), 3):
+                keep = flat[at]
+                flat[at] = keep + 1e-5
+                up = u.window(h, given, target, weigh)[0]
+                flat[at] = keep - 1e-5
+                down = u.window(h, given, target, weigh)[0]
+                flat[at] = keep
+                assert abs((up - down) / 2e-5 - grad[key].ravel()[at]) < 1e-5, key
+
+
+def test_words_share_all_probability():
+    u = small_unit()
+    state = np.random.default_rng(2).normal(size=(1, 4))
+    logs = u.scores(np.repeat(state, 10, 0), np.arange(10))
+    assert np.exp(logs).sum() == pytest.approx(1.0)
+    other = u.scores(np.repeat(-state, 10, 0), np.arange(10))
+    inside = slice(int(u.first[1]), int(u.first[2]))  # within a class, too, the state decides
+    assert not np.allclose(logs[inside] - logs[inside].mean(), other[inside] - other[inside].mean(), atol=1e-3)
+
+
+def test_documents_are_scored_whole_with_their_state():
+    u, r = small_unit(), np.random.default_rng(3)
+    docs = [np.append(r.integers(1, 10, n), 0).astype(np.int32) for n in (0, 1, 5, 300, 64, 63, 2, 0, 17)]
+    want = []
+    for d in docs:
+        h, last, total = np.zeros((1, 4)), 0, 0.0
+        for w in d.tolist():
+            h = u.step(h, np.array([last]))
+            total += float(u.scores(h, np.array([w]))[0])
+            last = w
+        want.append(total)
+    for span in (1, 8, 64):
+        for most in (1, 3, 512):
+            assert np.allclose(u.log_likelihood(docs, span, most), want, atol=1e-4)
+
+
+def test_all_documents_are_read_whole():
+    u, r = lm.Unit(np.arange(20.0, 0, -1)), np.random.default_rng(4)
+    docs = [np.append(r.integers(1, 21, n), 0).astype(np.int32) for n in r.integers(0, 400, 60)]
+    learner = lm.Learner(u, 0.001, lm.STEPS, streams=7)
+    for d in docs:
+        learner.add(d)
+    learner.finish()
+    assert learner.learned == sum(map(len, docs)) and not learner.held.any()
+    # with a longer stride, gradients are of some words, but the state has gone through all
+    frozen = lm.Learner(u.copy(), 0.0, 4 * lm.STEPS, streams=1)
+    for d in docs[:5]:
+        frozen.add(d)
+    frozen.finish()
+    h, last = np.zeros((1, u.hidden), np.float32), 0
+    for w in np.concatenate(docs[:5]).tolist():
+        h = u.step(h, np.array([last]))
+        last = w
+    assert np.allclose(frozen.h, h, atol=1e-5) and frozen.learned < sum(map(len, docs[:5]))
+
+
+def test_changes_are_averaged_by_words(spark):
+    u = lm.Unit(np.array([3.0, 2, 1]), hidden=2)
+    size = sum(v.size for v in u.p.values())
+    rows = [(k, k + 1, np.full(size, k, "<f4").tobytes()) for k in range(40)]
+    got = lm.averaged(spark.createDataFrame(rows, lm.CHANGE), u)
+    mean = sum(k * (k + 1) for k in range(40)) / sum(k + 1 for k in range(40))
+    assert all(np.allclose(got.p[k] - u.p[k], mean, atol=1e-4) for k in u.p)
+    same = lm.averaged(spark.createDataFrame([], lm.CHANGE), u)
+    assert all((same.p[k] == u.p[k]).all() for k in u.p)
+
+
+def test_rounds_cover_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM", 1_000)
+    rows = spark.range(2_000, numPartitions=5).selectExpr("transform(sequence(0, cast(id % 50 as int)), x -> cast(x as int)) as ids", "id")
+    total = rows.selectExpr("sum(size(ids))").first()[0]
+    parts = lm.rounds(rows, total)
+    assert len(parts) == 3 and sum(p.count() for p, *_ in parts) == 2_000
+    assert [p.count() for p, *_ in parts] == sorted(p.count() for p, *_ in parts)
+
+
+def test_later_rounds_teach(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM", 100_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
+    model = lm.begun(lm.count_words(rows.filter(~held)))
+    all_ = lm.encoded(rows, model).cache()
+    unseen = [np.array(r.ids) for r in all_.filter("held_out").select("ids").collect()]
+    parts = lm.rounds(all_.filter("not held_out").select("ids"), model.n)
+    assert len(parts) > 1
+    unit, seen = model.unit, [model.unit.log_likelihood(unseen).sum()]
+    for part, rate, stride, passes in parts:
+        unit = lm.averaged(lm.changes(part, unit, rate, stride, passes), unit)
+        seen.append(unit.log_likelihood(unseen).sum())
+    assert seen == sorted(seen), seen
 
 
 def test_language_model_odd(odd, none):
