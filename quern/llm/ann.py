@@ -1,21 +1,27 @@
 """Operator 1: approximate nearest neighbours by cross-polytope hashing.
 
-A table's hash of a unit vector is the signed axis nearest to it after a pseudo-random rotation: three rounds of random signs
-and a fast Hadamard transform. A query probes, in each table, the PROBES axes nearest to it; vectors in those buckets are
-scored exactly and the k best of all tables kept. For the largest inner product among vectors of any length, a candidate x
-gets one component more, sqrt(1 - |x|^2 / m^2) with m the largest length, and is divided by m; for unit vectors that is zero.
-
-Buckets are joined with the queries that probe them as blocks: a bucket over BLOCK vectors, or probed by over BLOCK queries, is
-dealt out in parts that meet each other once, and each meeting hands on k rows a query at most. Queries that have found fewer
-than k go through all vectors, in blocks, so a small table is searched whole.
+A rotation's hash of a unit vector is the signed axis nearest to it after a pseudo-random rotation: three rounds of random signs
+and a fast Hadamard transform. A table hashes by several rotations one after the other, as many axes as make about four cells
+for each vector (the last rotation takes part of the axes), so that cells stay small however many vectors there are. A query
+probes, in each table, the PROBES cells of the largest sums of its components on their axes; vectors in those cells are scored
+exactly and the k best of all tables kept. For the largest inner product among vectors of any length, a candidate x gets one
+component more, sqrt(1 - |x|^2 / m^2) with m the largest length, and is divided by m; if all are of one length there is none.
+
+Cells that share their leading axes make a group of about BLOCK vectors. A query is sent once to each group that holds a cell
+it probes, with the least sum that it probes, from which the group's task finds the cells again. A group over twice BLOCK vectors,
+or sought by over BLOCK queries, is dealt out in parts that meet each other once, and each meeting hands on k rows a query. Of
+equal vectors, the k + 1 smallest ids alone are kept: no other can be among the k best, as ties go to the smaller id, so a
+group of copies of any size is a few rows. Queries that have found fewer than k go through all vectors, in blocks, so a small
+table is searched whole.
 
 Vectors that are null, empty or zero, or hold a null, NaN or infinite component, take no part, neither do null ids; shorter
 vectors count as padded with zeros. A query's own row is whatever has its id; equal vectors under other ids are candidates, ties
-go to the smaller id. Ids that repeat are one candidate each time but fill one rank.
+go to the smaller id. Ids that repeat are one candidate each time but fill one rank. Other columns are left behind.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,9 +31,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import saved
 
-TABLES, PROBES, BLOCK, SEED = 16, 12, 4096, 20
-KEYS = ("tab", "bucket", "c", "q")
-FOUND = "query_id long, vec_id long, score double"
+TABLES, PROBES, BLOCK, SEED = 16, 1_000, 16_384, 20
+#: Cells for each vector, as a power of two, and the fewest cells that a table has.
+SPARE, FEWEST = 2, 256
+KEYS = ("tab", "grp", "c", "q")
+FOUND = "query_id long, vec_id long, score double, scored long"
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("scored", pa.int64())])
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -43,27 +52,76 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-@lru_cache(maxsize=4)
-def signs(width: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, width))
+@dataclass(frozen=True)
+class Shape:
+    """How tables hash: the width of rotations (a power of two), the bits of each rotation's axes, and of a group's number."""
+
+    width: int
+    bits: tuple[int, ...]
+    group: int
+
+    @property
+    def total(self) -> int:
+        return sum(self.bits)
+
 
+def shape_of(n: int, width: int) -> Shape:
+    whole = (2 * width).bit_length() - 1
+    want = max(FEWEST.bit_length() - 1, (max(n, 2) - 1).bit_length() + SPARE)
+    bits = [whole] * (want // whole) + ([want % whole] if want % whole else [])
+    return Shape(width, tuple(bits), min(sum(bits), max(0, (-(-n // BLOCK) - 1).bit_length())))
 
-def probes(x: np.ndarray, count: int, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
-    """The `count` nearest signed axes of each row in each table, nearest first: axis 2i is +i, 2i + 1 is -i."""
-    width = x.shape[1]
-    count = min(count, 2 * width)
-    out = np.empty((len(x), tables, count), np.int64)
-    for t, rounds in enumerate(signs(width, tables, seed)):
+
+@lru_cache(maxsize=8)
+def signs(width: int, tables: int, rotations: int, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, rotations, 3, width))
+
+
+def components(x: np.ndarray, shape: Shape, table: int) -> list[np.ndarray]:
+    """For each rotation of a table, each row's components on its axes: the first ones, then their opposites."""
+    out = []
+    for rounds, b in zip(signs(shape.width, TABLES, len(shape.bits))[table], shape.bits, strict=True):
         y = x
         for s in rounds:
             y = hadamard(y * s)
-        both = np.stack([y, -y], 2).reshape(len(x), 2 * width)
-        near = np.argpartition(-both, count - 1, axis=1)[:, :count] if count < 2 * width else np.tile(np.arange(2 * width), (len(x), 1))
-        order = np.argsort(-np.take_along_axis(both, near, 1), axis=1, kind="stable")
-        out[:, t] = np.take_along_axis(near, order, 1)
+        y = y[:, : 1 << (b - 1)]
+        out.append(np.concatenate([y, -y], 1))
     return out
 
 
+def cells(x: np.ndarray, shape: Shape, table: int) -> np.ndarray:
+    code = np.zeros(len(x), np.int64)
+    for y, b in zip(components(x, shape, table), shape.bits, strict=True):
+        code = code << b | y.argmax(1)
+    return code
+
+
+def reached(parts: list[np.ndarray], bits: tuple[int, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells whose sum of a query's components is `least` or more, with their sums. Prefixes that even the largest
+    components of the rotations to come don't lift to it are left out on the way."""
+    code, total = np.zeros(1, np.int64), np.zeros(1)
+    rest = np.cumsum([0.0, *(y.max() for y in parts[:0:-1])])[::-1]
+    for y, b, more in zip(parts, bits, rest, strict=True):
+        sums = total[:, None] + y
+        i, j = np.nonzero(sums >= least - more - 1e-12)
+        code, total = code[i] << b | j, sums[i, j]
+    on = total >= least
+    return code[on], total[on]
+
+
+def least_of(parts: list[np.ndarray], bits: tuple[int, ...], count: int) -> float:
+    """The smallest of the `count` largest sums of a query's components, one axis from each rotation."""
+    if 1 << sum(bits) <= count:
+        return -np.inf
+    total = np.zeros(1)
+    for y in parts:
+        # the count largest of all are sums of the count largest so far
+        total = (total[:, None] + np.sort(y)[::-1][None, : min(len(y), count)]).ravel()
+        if len(total) > count:
+            total = np.partition(total, len(total) - count)[-count:]
+    return float(total.min())
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(float), column.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(sizes), width))
@@ -71,23 +129,102 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def hashed(vectors: DataFrame, width: int, longest: float, count: int, query: bool) -> DataFrame:
-    """vec_id, vector and axes: `count` probes for each table, one table after the other."""
-    padded = 1 << width.bit_length()  # more than width
+def unit(x: np.ndarray, width: int, longest: float | None) -> np.ndarray:
+    """Queries (no `longest`) and candidates as unit vectors; the component at `width` makes up a candidate's length, where the
+    shape has room for it."""
+    if longest is None:
+        return x / np.linalg.norm(x, axis=1)[:, None]
+    x = x / longest
+    if x.shape[1] > width:
+        x[:, width] = np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(1)))
+    return x
+
+
+PLACED = "tab int, grp int, cell long, vec_id long, vector {0}"
+ASKED = "tab int, grp int, least double, vec_id long, vector {0}"
+
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray, names: tuple[str, str, str], tab, grp, value, kind) -> pa.RecordBatch:
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(tab, pa.int32()), pa.array(grp, pa.int32()), pa.array(value, kind), batch.column("vec_id").take(take), batch.column("vector").take(take)], names=[*names, "vec_id", "vector"])
+
+
+def placed(vectors: DataFrame, shape: Shape, width: int, longest: float) -> DataFrame:
+    """Each vector once for every table, with its cell and group there."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = matrix(b.column("vector"), padded)
-                if query:
-                    x /= np.linalg.norm(x, axis=1)[:, None]
-                else:
-                    x /= longest
-                    x[:, width] = np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(1)))
-                axes = probes(x, count).reshape(len(x), -1)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vector"), pa.array(list(axes), pa.list_(pa.int32()))], names=["vec_id", "vector", "axes"])
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                x = unit(matrix(part.column("vector"), shape.width), width, longest)
+                for t in range(TABLES):
+                    code = cells(x, shape, t)
+                    yield _rows(part, np.arange(len(x)), ("tab", "grp", "cell"), np.full(len(x), t), code >> (shape.total - shape.group), code, pa.int64())
 
-    return vectors.mapInArrow(run, "vec_id long, vector array<double>, axes array<int>")
+    return vectors.mapInArrow(run, PLACED.format(vectors.schema["vector"].dataType.simpleString()))
+
+
+def asking(vectors: DataFrame, shape: Shape) -> DataFrame:
+    """Each query once for every group that holds a cell which it probes, with the least sum that it probes in the table."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x = unit(matrix(part.column("vector"), shape.width), 0, None)
+                for t in range(TABLES):
+                    parts = components(x, shape, t)
+                    row, grp, least = [], [], []
+                    for i in range(len(x)):
+                        own = [y[i] for y in parts]
+                        low = least_of(own, shape.bits, PROBES)
+                        groups = np.unique(reached(own, shape.bits, low)[0] >> (shape.total - shape.group)) if shape.group else np.zeros(1, np.int64)
+                        row.append(np.full(len(groups), i)), grp.append(groups), least.append(np.full(len(groups), low))
+                    row = np.concatenate(row)
+                    yield _rows(part, row, ("tab", "grp", "least"), np.full(len(row), t), np.concatenate(grp), np.concatenate(least), pa.float64())
+
+    return vectors.mapInArrow(run, ASKED.format(vectors.schema["vector"].dataType.simpleString()))
+
+
+def firsts(query: int, ids: np.ndarray, q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores of the k best of a query's candidates. Products are summed left to right in double precision."""
+    s = c @ q
+    near = ids != query
+    if near.sum() > k:
+        level = np.partition(s[near], near.sum() - k)[near.sum() - k]
+        near &= s >= level - 1e-9 * (1 + abs(level))
+    at = np.flatnonzero(near)
+    score = np.zeros(len(at))
+    for d in range(len(q)):
+        score += q[d] * c[at, d]
+    order = np.lexsort((ids[at], -score))[:k]
+    return ids[at[order]], score[order]
+
+
+def probe(queries: DataFrame, candidates: DataFrame, shape: Shape, width: int, k: int) -> DataFrame:
+    """The k best of what each query finds in each group, and a row without an id for how many it scored there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        right = right.sort_by("cell")
+        cell, ids = right.column("cell").to_numpy(), right.column("vec_id").to_numpy()
+        c, q = (matrix(t.column("vector").combine_chunks(), width) for t in (right, left))
+        asked, least = left.column("vec_id").to_numpy(), left.column("least").to_numpy()
+        table, group = left.column("tab")[0].as_py(), left.column("grp")[0].as_py()
+        parts = components(unit(np.pad(q, ((0, 0), (0, shape.width - width))), 0, None), shape, table)
+        out: list[tuple] = []
+        for i in range(len(q)):
+            wanted = reached([y[i] for y in parts], shape.bits, least[i])[0]
+            wanted = wanted[wanted >> (shape.total - shape.group) == group]
+            lo, hi = np.searchsorted(cell, wanted, "left"), np.searchsorted(cell, wanted, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found, score = firsts(asked[i], ids[at], q[i], c[at], k)
+            out.append((np.full(len(found) + 1, asked[i]), np.append(found.astype(object), None), np.append(score.astype(object), None), np.append(np.zeros(len(found), np.int64), len(at))))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+    return queries.groupBy(*KEYS).cogroup(candidates.groupBy(*KEYS)).applyInArrow(run, FOUND)
 
 
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -123,21 +260,32 @@ def meet(queries: DataFrame, candidates: DataFrame, keys: tuple[str, ...], width
             found = best(left.column("vec_id").to_numpy(), q, right.column("vec_id").to_numpy(), c, k)
         else:
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.Table.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+        scored = np.zeros(len(found[0]), np.int64)
+        if left.num_rows and right.num_rows:
+            own = left.column("vec_id").to_numpy()
+            none = pa.nulls(len(own), pa.int64())
+            marks = pa.Table.from_arrays([pa.array(own), none, pa.nulls(len(own), pa.float64()), pa.array(np.full(len(own), right.num_rows))], schema=_FOUND)
+        else:
+            marks = _FOUND.empty_table()
+        return pa.concat_tables([pa.Table.from_arrays([pa.array(x) for x in (*found, scored)], schema=_FOUND), marks])
 
     return queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, FOUND)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
+    """vec_id and vector (of 32-bit floats, if it is so) of the rows that take part, repeated rows once."""
+    kind = "array<float>" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast(kind).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return plain.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+    return plain.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)).distinct()
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The k best of each query, and how many candidates were scored for it, in all tables."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    own = Window.partitionBy("query_id")
+    once = once.withColumn("scored", F.sum("scored").over(own)).filter("vec_id is not null")
+    return once.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scored")
 
 
 def salt(parts: Column) -> Column:
@@ -145,24 +293,27 @@ def salt(parts: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score. vectors: vec_id and vector; is_query: over vec_id."""
-    rows = saved(usable(vectors), "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
+    """query_id, rank, vec_id, score and scored (candidates that the query was compared with, one in several tables each time).
+    vectors: vec_id and vector; is_query: over vec_id."""
+    every = saved(usable(vectors), "vectors")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    size = every.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(length).alias("longest"), F.min(length).alias("shortest")).first()
     if not size.n:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = rows.filter(is_query)
-    own = _tabled(hashed(rows, size.width, size.longest, 1, False), 1)
-    probing = _tabled(hashed(asked, size.width, size.longest, PROBES, True), min(PROBES, 2 << size.width.bit_length()))
-    # a row for each bucket of each table: at most TABLES * 4 * width
-    held = own.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c_parts"))
-    sought = probing.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
-    parts = F.broadcast(saved(held.join(sought, ["tab", "bucket"]), "buckets"))
-    left = probing.join(parts, ["tab", "bucket"]).withColumn("q", salt(F.col("q_parts"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)))
-    right = own.join(parts, ["tab", "bucket"]).withColumn("c", salt(F.col("c_parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-    columns = [*KEYS, "vec_id", "vector"]
-    found = saved(ranked(meet(left.select(columns), right.select(columns), KEYS, size.width, k), k), "found")
-    few = asked.join(found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, size.n - 1)), "vec_id", "left_anti")
-    few = saved(few, "few")
+        return every.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
+    # of equal vectors, those that can be among the k best of any query; partial limits come before the shuffle
+    rows = saved(every.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("_r") <= k + 1).drop("_r"), "candidates")
+    asked = every.filter(is_query)
+    even = size.shortest >= size.longest * (1 - 1e-6)
+    shape = shape_of(size.n, 1 << (size.width - 1 if even else size.width).bit_length())
+    own, probing = placed(rows, shape, size.width, size.longest), asking(asked, shape)
+    # a row for each group of each table
+    held = own.groupBy("tab", "grp").agg(F.greatest(F.lit(1), F.round(F.count("*") / BLOCK)).cast("int").alias("c_parts"))
+    sought = probing.groupBy("tab", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
+    parts = saved(held.join(sought, ["tab", "grp"]), "groups")
+    left = probing.join(parts, ["tab", "grp"]).withColumn("q", salt(F.col("q_parts"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)))
+    right = own.join(parts, ["tab", "grp"]).withColumn("c", salt(F.col("c_parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    found = saved(ranked(probe(left.select(*KEYS, "least", "vec_id", "vector"), right.select(*KEYS, "cell", "vec_id", "vector"), shape, size.width, k), k), "found")
+    few = saved(asked.join(found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, size.n - 1)), "vec_id", "left_anti"), "few")
     n = few.count()
     if not n:
         return found
@@ -171,8 +322,3 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     right = rows.withColumn("c", salt(F.lit(c_parts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
     whole = meet(left, right, ("c", "q"), size.width, k)
     return found.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(ranked(whole, k))
-
-
-def _tabled(df: DataFrame, count: int) -> DataFrame:
-    each = df.select("vec_id", "vector", F.posexplode("axes").alias("at", "bucket"))
-    return each.select(F.floor(F.col("at") / count).cast("int").alias("tab"), "bucket", "vec_id", "vector")
