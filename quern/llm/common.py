@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.store import fresh_path, removed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,33 +21,6 @@ def texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if path := sc.getConf().get("spark.checkpoint.dir"):
-        return path.rstrip("/")
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get().rstrip("/")
-    path = "file://" + tempfile.mkdtemp(prefix="quern-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new place below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    atexit.register(drop)
-    return path
-
-
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -57,9 +28,7 @@ def dropped(*tables: DataFrame) -> None:
     """Remove tables of saved() that nothing will read again."""
     for df in tables:
         if found := _PATHS.pop(id(df), None):
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(found[1])
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            removed(df.sparkSession, found[1])
 
 
 def released(spark: SparkSession) -> None:

@@ -7,11 +7,14 @@ minimizer, the first of its GRAM-byte strings with the smallest hash. Windows th
 offset; windows in a row with the same minimizer make one segment, aligned at it. Only minimizers that different texts share
 matter, and each of them is a collection of its own: its segments, of 2 * LENGTH - GRAM bytes at most.
 
-A collection is built right to left. Every round reads the next column of symbols from a file written in column order, sorts
-it stably into the order so far (equal symbols keep the order of what follows them) and renews the common prefixes of
-neighbours: one more than the smallest between them in the round before where the symbols agree, else none. As segments are
-aligned, strings can only match within a column, so the order of the current column is all of the transform that is kept.
-Neighbours with a common prefix of LENGTH are the same window; the smallest doc_id among them keeps it.
+A collection is built right to left. Every round reads the next column of symbols, one of each segment, from a file written in
+column order, sorts it stably into the order so far (equal symbols keep the order of what follows them) and renews the common
+prefixes of neighbours: one more than the smallest between them in the round before where the symbols agree, else none. The
+round's part of the transform (the symbols that stand before the sorted strings) and its common prefixes are appended to a second file. As segments are
+aligned, strings can only match within a column, so the order of the current column is all that a round needs of the one before.
+Neighbours with a common prefix of LENGTH are the same window; the smallest doc_id among them keeps it. Both files lie in the
+shared folder, are read and written from one end to the other, and go when their collections are done; a task that is run again
+uses names of its own.
 
 Null and empty texts have no bytes; texts under LENGTH bytes lose nothing. Equal texts are taken once, for their smallest
 doc_id; the others go entirely, if long enough. Rows that repeat a doc_id never remove anything from each other. Null doc_ids
@@ -21,7 +24,7 @@ count as smaller than all others.
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import dropped, released, saved, sliced, strings, texts
+from quern.llm.common import dropped, fresh_path, released, saved, sliced, strings, texts
 from quern.llm.neardup import mix
+from quern.llm.tokenbin import opened
 
 LENGTH, GRAM = 50, 16
 #: Segments that one construction takes together; a minimizer's segments are never parted.
@@ -75,11 +79,12 @@ def minimizers(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     return owner[first], value[first], place[first] - base, start[first] - base, start[last] - base
 
 
-def earliest(group: np.ndarray, doc: np.ndarray, column, low: np.ndarray, high: np.ndarray, width: int, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
+def earliest(group: np.ndarray, doc: np.ndarray, column, low: np.ndarray, high: np.ndarray, width: int, length: int = LENGTH, keep=None) -> Iterator[tuple[int, np.ndarray]]:
     """For each column, from the right, the strings whose window from there an earlier document has as well.
 
     group: ascending numbers of the collections; column(j): symbols of column j, by string; low, high: columns in which a
-    string's windows begin. A string's symbols outside of its windows count as different from all others.
+    string's windows begin. A string's symbols outside of its windows count as different from all others. keep(symbols, prefixes)
+    takes up the transform: the symbols in the order of what follows them, and the common prefixes of the new order.
     """
     m = len(group)
     order, prefix = np.arange(m), np.zeros(m + 1, np.int64)
@@ -87,6 +92,7 @@ def earliest(group: np.ndarray, doc: np.ndarray, column, low: np.ndarray, high:
         inside = (low <= j) & (j < high + length)
         symbol = np.where(inside, column(j).astype(np.int64), 256)
         key = group[order] * 257 + symbol[order]
+        before = symbol[order]
         move = np.argsort(key, kind="stable")
         key, order = key[move], order[move]
         same = np.r_[False, (key[1:] == key[:-1]) & (symbol[order[1:]] < 256)]
@@ -96,6 +102,8 @@ def earliest(group: np.ndarray, doc: np.ndarray, column, low: np.ndarray, high:
             bounds = np.stack([move[at - 1] + 1, move[at] + 1], 1).ravel()
             renewed[at] = 1 + np.minimum.reduceat(prefix, bounds)[::2]
         prefix = np.minimum(renewed, length)
+        if keep is not None:
+            keep(before, prefix[:-1])
         begins = (low <= j) & (j <= high)
         if begins.any():
             run = np.cumsum(prefix[:-1] < length) - 1
@@ -169,8 +177,9 @@ def segments(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.join(wanted, ["doc", "id"]).select("doc", "id", "text", "places").mapInArrow(cut, SEGMENTS)
 
 
-def construct(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, raw: list[bytes]) -> np.ndarray:
-    """Which windows of each segment (row: segment, column: place before the minimizer) an earlier document has."""
+def construct(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, raw: list[bytes], path: str) -> np.ndarray:
+    """Which windows of each segment (row: segment, column: place before the minimizer) an earlier document has. Files go below
+    `path`."""
     ahead, width = LENGTH - GRAM, 2 * LENGTH - GRAM
     first, last = low - at + ahead, high - at + ahead
     late = np.zeros((len(h), ahead + 1), bool)
@@ -190,12 +199,24 @@ def construct(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, h
     kept, low1, high1, docs1 = kept[order], low1[order], high1[order], smallest[order]
     group = np.cumsum(np.r_[0, kept[1:] != kept[:-1]])
     late1 = np.zeros((len(one), ahead + 1), bool)
-    with tempfile.TemporaryFile() as file:
-        np.ascontiguousarray(padded[one][order].T[::-1]).tofile(file)  # columns in the order in which the rounds read them
-        file.seek(0)
-        column = lambda j: np.frombuffer(file.read(len(one)), np.uint8)  # noqa: E731, ARG005
-        for j, strings_late in earliest(group, docs1, column, low1, high1, width):
-            late1[strings_late, j] = True
+    where, base = opened(path)
+    where.create_dir(base, recursive=True)
+    name = f"{base}/{uuid.uuid4().hex}"
+    with where.open_output_stream(f"{name}.columns") as file:  # in the order in which the rounds read them
+        file.write(np.ascontiguousarray(padded[one][order].T[::-1]).tobytes())
+    try:
+        with where.open_input_stream(f"{name}.columns") as file, where.open_output_stream(f"{name}.transform") as transform:
+            column = lambda j: np.frombuffer(file.read(len(one)), np.uint8)  # noqa: E731, ARG005
+
+            def keep(symbols: np.ndarray, prefixes: np.ndarray) -> None:
+                transform.write(symbols.astype("<u2").tobytes())
+                transform.write(prefixes.astype(np.uint8).tobytes())
+
+            for j, strings_late in earliest(group, docs1, column, low1, high1, width, keep=keep):
+                late1[strings_late, j] = True
+    finally:
+        for kind in ("columns", "transform"):
+            where.delete_file(f"{name}.{kind}")
     back = np.empty(len(one), np.int64)
     back[order] = np.arange(len(one))
     at1 = back[which]
@@ -207,6 +228,7 @@ def construct(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, h
 
 def repeats(parts: DataFrame) -> DataFrame:
     """(doc, id, start, end) of bytes to remove, from segments."""
+    path = fresh_path(parts.sparkSession, "collections")
 
     def build(batches):
         held: list[pa.RecordBatch] = []
@@ -214,7 +236,7 @@ def repeats(parts: DataFrame) -> DataFrame:
         def flush():
             t = pa.Table.from_batches(held)
             num = {c: t.column(c).to_numpy().astype(np.int64) for c in ("h", "doc", "id", "at", "low", "high")}
-            late = construct(num["h"], num["doc"], num["at"], num["low"], num["high"], t.column("bytes").to_pylist())
+            late = construct(num["h"], num["doc"], num["at"], num["low"], num["high"], t.column("bytes").to_pylist(), path)
             edge = np.diff(np.pad(late.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, start = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
