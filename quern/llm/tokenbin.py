@@ -7,12 +7,12 @@ frame with a seek table:
     payload: per frame (offset u64, compressed size u32, ids size u32, documents u32, xxh64 of the ids u64, first doc_id i64),
              then number of frames u32, version u32, magic 0x51554E54
 
-all little-endian. A frame holds, decompressed, a header (doc_id i64, ids u32) per document and then the ids of its documents
-as u32. A reader takes the table from the end of the file, fetches the frames it needs and checks their sums; the rest of the
+all little-endian. A frame holds, decompressed, a header (doc_id i64, ids u32, 1 or 0 for a null doc_id u32) per document and
+then the ids of its documents as u32. A reader takes the table from the end of the file, fetches the frames it needs and checks their sums; the rest of the
 file stays unread.
 
-Documents go to shards by ranges of doc_id, in ascending order; rows that repeat a doc_id stand side by side. Null and empty
-texts have the end id alone. An empty table makes no file.
+Documents go to shards by ranges of doc_id, in ascending order, null ones first; rows that repeat a doc_id stand side by side, by
+the hash of their texts, and may go to several shards. Null and empty texts have the end id alone. An empty table makes no file.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ from quern.llm.common import fresh_path, sliced, strings, texts
 
 END_ID = 2
 FRAME_BYTES = 1 << 20
-SKIPPABLE, TABLE_MAGIC, VERSION = 0x184D2A5E, 0x51554E54, 1
+SKIPPABLE, TABLE_MAGIC, VERSION = 0x184D2A5E, 0x51554E54, 2
 ENTRY, TAIL, HEAD = struct.Struct("<QIIIQq"), struct.Struct("<III"), struct.Struct("<II")
-DOCUMENT = np.dtype([("doc_id", "<i8"), ("n", "<u4")])
+DOCUMENT = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("known", "<u4")])
+LOWEST = -(2**63)  #: stands for a null doc_id in a seek table
 #: Chunks that a worker remembers, and how many new ones the library sees at once.
 REMEMBERED, TOGETHER = 600_000, 512
 
@@ -134,7 +135,7 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
-def frame(ids: np.ndarray, documents: list[tuple[int, int]]) -> tuple[bytes, int]:
+def frame(ids: np.ndarray, documents: list[tuple[int, int, int]]) -> tuple[bytes, int]:
     """A compressed frame and the sum of its contents."""
     plain = np.array(documents, DOCUMENT).tobytes() + ids.astype("<u4").tobytes()
     return zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True).compress(plain), xxhash.xxh64_intdigest(plain)
@@ -144,12 +145,12 @@ class ShardWriter:
     def __init__(self, out):
         self.out, self.at, self.table = out, 0, []
         self.ids: list[np.ndarray] = []
-        self.documents: list[tuple[int, int]] = []
+        self.documents: list[tuple[int, int, int]] = []
         self.held = self.total = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(ids)
-        self.documents.append((doc_id, len(ids)))
+        self.documents.append((LOWEST if doc_id is None else doc_id, len(ids), doc_id is not None))
         self.held += 4 * len(ids)
         self.total += len(ids)
         if self.held >= FRAME_BYTES:
@@ -182,7 +183,7 @@ def seek_table(f) -> list[tuple]:
     return list(ENTRY.iter_unpack(f.read(n * ENTRY.size)))
 
 
-def read_frame(f, entry: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
+def read_frame(f, entry: tuple) -> tuple[list[int | None], list[np.ndarray]]:
     """doc_ids and ids of a frame's documents; a wrong sum raises."""
     at, size, ids_bytes, documents, check, _ = entry
     f.seek(at)
@@ -191,7 +192,7 @@ def read_frame(f, entry: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
         raise ValueError("a frame's checksum is wrong")
     head = np.frombuffer(plain, DOCUMENT, documents)
     ids = np.frombuffer(plain, "<u4", offset=documents * DOCUMENT.itemsize)
-    return head["doc_id"], np.split(ids, np.cumsum(head["n"])[:-1])
+    return [d if known else None for d, known in zip(head["doc_id"].tolist(), head["known"].tolist(), strict=True)], np.split(ids, np.cumsum(head["n"])[:-1])
 
 
 def opened(path: str):
@@ -199,7 +200,7 @@ def opened(path: str):
     return where, inside
 
 
-def read_documents(path: str, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def read_documents(path: str, wanted: set[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
     """doc_id and ids of the shard's documents, or of the wanted ones alone: other frames are not decompressed."""
     where, inside = opened(path)
     with where.open_input_file(inside) as f:
@@ -210,15 +211,15 @@ def read_documents(path: str, wanted: set[int] | None = None) -> Iterator[tuple[
                 if not any(entry[5] <= d <= last for d in wanted):
                     continue
             for d, ids in zip(*read_frame(f, entry), strict=True):
-                if wanted is None or int(d) in wanted:
-                    yield int(d), ids
+                if wanted is None or d in wanted:
+                    yield d, ids
 
 
 def write_shards(df: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write every row's ids below path; returns shard, file, first_doc, n_docs, n_ids, one row a shard, ascending.
 
     A task writes under a name of its own and then moves the file to its place, so a task that is lost or run twice leaves
-    one whole file. Null doc_ids stand first, as id -1 - 2**62.
+    one whole file.
     """
     spark = df.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -245,11 +246,9 @@ def write_shards(df: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
             where.move(draft, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(name[6:12])], pa.int32()), "file": [f"{path}/{name}"], "first_doc": pa.array([first], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
 
-    placed = texts(df).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    return placed.mapInArrow(run, "shard int, file string, first_doc long, n_docs long, n_ids long")
-
-
-NO_ID = -1 - 2**62
+    keyed = texts(df).withColumn("h", F.xxhash64("text"))  # the texts of a doc_id that very many rows have are parted, too
+    placed = keyed.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return placed.drop("h").mapInArrow(run, "shard int, file string, first_doc long, n_docs long, n_ids long")
 
 
 def read_shards(index: DataFrame) -> DataFrame:
@@ -268,7 +267,7 @@ def read_shards(index: DataFrame) -> DataFrame:
                         sizes = np.array([len(x) for x in ids], np.int64)
                         starts = start + np.cumsum(sizes) - sizes
                         start += int(sizes.sum())
-                        yield pa.RecordBatch.from_arrays([pa.array([None if d == NO_ID else d for d in docs.tolist()], pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return index.select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -484,6 +484,9 @@ def test_token_files(spark, docs, odd, none, tmp_path):
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert tokenbin.round_trip(odd, BYTE).count() == 7 and tokenbin.round_trip(none, BYTE).count() == 0
+    rows = [(None, "a b"), (-(2**63), "c"), (-1 - 2**62, "d e f"), (None, None), (7, "g"), (7, "h i")]
+    again = tokenbin.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).orderBy("start").collect()
+    assert [r.doc_id for r in again] == [None, None, -(2**63), -1 - 2**62, 7, 7] and sum(r.n_tokens for r in again[:-1]) == again[-1].start
     e = tokenbin.ByteEncoder(BYTE)
     for t, ids in zip(TRICKY, e.encode(TRICKY), strict=True):
         assert ids.tolist() == e.library.encode(t, add_special_tokens=False).ids
