@@ -649,6 +649,23 @@ def test_decontamination_of_edited_copies(spark, every, length):
         assert 100 not in {r.doc_id for r in decontam.without(df, items).collect()}
 
 
+@pytest.mark.parametrize("share, least", [(0.1, 1.0), (0.2, 0.99), (0.3, 0.85)])
+def test_recall_of_randomly_edited_copies(spark, share, least):
+    """Copies of all items with this share of words replaced, left out or put in, among other words."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()
+    items = decontam.Items([(r.item_id, decontam.WORD.findall(r.text.lower())) for r in rows])
+    r, found = np.random.default_rng(5), 0
+    for k, words in enumerate(decontam.WORD.findall(x.text.lower()) for x in rows):
+        copy = []
+        for w in words:
+            change = r.random()
+            copy += [] if change < share / 3 else ["edited"] if change < 2 * share / 3 else [w, "added"] if change < share else [w]
+        text = " ".join([f"before{i}" for i in range(30)] + copy + [f"after{i}" for i in range(30)])
+        found += any(i == k for i, *_ in decontam.matches(items, text, decontam.SIMILARITY))
+    print(f"{share:.0%} edited: {found} of {len(rows)}")
+    assert found >= least * len(rows)
+
+
 def test_decontamination_item_without_id(spark):
     item = " ".join(f"w{k}" for k in range(20))
     items = spark.createDataFrame([(None, item), (None, None), (1, None), (2, "other words than those")], "item_id long, text string")
