@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import exact
+from quern.operators.embed import embedded_tracks
 from quern.operators.tables import WINDOWS, best_of, numbered, queries_of, required, segments, table
-from quern.plans.catalogue import _COUNTS, _N, K, SEED, SEG, SIMS, TRACKS, cataloged, hits, query, words
+from quern.plans.catalogue import _COUNTS, _N, _WORDS, K, SEED, SEG, SIMS, TRACKS, cataloged, hits, integrity_report, query, words
 from quern.sources import store
 
 # ---- searches over a catalog with holes
@@ -168,6 +169,33 @@ def staged_rows(spark, d):
     return numbered(some, "place", "h", "row_id").select("row_id", "place")
 
 
+@query(
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), e AS (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) >= 10 THEN least(3, len(ws) - 9) ELSE 0 END)) AS win FROM w),
+ c AS (SELECT doc_id, win, len(array_to_string(ws[win + 1 : win + 10], ''))::double AS a, len(ws[win + 1])::double AS b FROM e) SELECT doc_id AS track_id, win::int AS win, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM c"""
+)
+def embedded_windows(spark, d):
+    """The first three windows of every document through a model, which stands in for a real one: lengths of all words and of the
+    first."""
+    import numpy as np
+
+    def model(windows: list) -> np.ndarray:
+        x = np.array([[sum(map(len, w)), len(w[0])] for w in windows], float)
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    docs = words(table(spark, d, "documents")).select("doc_id", "words")
+    count = F.when(F.size("words") >= 10, F.least(F.lit(3), F.size("words") - 9)).otherwise(0)
+    each = docs.select("doc_id", "words", F.explode(F.sequence(F.lit(1), count)).alias("at")).filter("at >= 1 and size(words) >= 10")
+    windows = each.select(F.col("doc_id").alias("track_id"), (F.col("at") - 1).alias("window"), F.slice("words", F.col("at"), 10).alias("samples"))
+    found = embedded_tracks(windows, model, 10)
+    return found.select("track_id", F.col("window").alias("win"), F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
+
+
+@query("WITH r AS (SELECT 'documents' AS name, count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents UNION ALL SELECT 'embeddings', count(*), count(DISTINCT vec_id) FROM embeddings UNION ALL SELECT 'labels', count(*), count(DISTINCT doc_id) FROM labels) SELECT to_json({'name': name, 'n': n, 'state': CASE WHEN n = ids THEN 'OK' ELSE 'FAIL' END})::varchar AS line FROM r")
+def integrity_json(spark, d):
+    """The report as lines of JSON."""
+    return integrity_report(spark, d).select(F.to_json(F.struct("name", "n", "state")).alias("line"))
+
+
 # ---- identity and integrity
 
 _RULES = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS n FROM e)"""

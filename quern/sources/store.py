@@ -106,6 +106,25 @@ def load(spark: SparkSession, path: str, verify: bool = True, expect: dict[str,
     return df
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, whole or not at all: it is written under another name and then takes the place of what was there."""
+    sc = spark.sparkContext
+    conf, jvm = sc._jsc.hadoopConfiguration(), sc._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
+    finally:
+        out.close()
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    kinds = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = overwrite
+    files.rename(draft, target, kinds)
+
+
 def grouped_csv(spark: SparkSession, path: str, columns: dict[tuple[str, str], str], key: str = "track_id") -> DataFrame:
     """A CSV file under three header rows; columns are named by (group, field), the first is the key. Blank fields are null,
     rows without a key are skipped, a missing column raises. A record is a line, so the file is read in splits."""

@@ -271,6 +271,12 @@ def test_breadth_first_order_and_relabelling(spark, small):
     assert graph.locality(links, got, 48).first().mean_pages == pytest.approx(np.mean(pages), abs=1e-6)
 
 
+def test_links_of_one_a_row_are_packed(spark, small):
+    nodes = small.select("shard", "row_id", "level", "entry", "vector")
+    got = graph.packed(nodes, graph.edges(small)).select(small.columns)
+    assert got.exceptAll(small).count() == 0 == small.exceptAll(got).count()
+
+
 def test_search_counts_distances_of_all_shards(spark):
     x = unit(300, 8, 21)
     segs = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "row_id long, shard int, vector array<double>")
@@ -356,6 +362,30 @@ def test_commit_and_load(spark, tmp_path):
         store.load(spark, path)
 
 
+def test_files_are_whole_or_absent(spark, tmp_path):
+    path = tmp_path / "report.json"
+    for text in ('{"a": 1}', '{"b": "é"}'):
+        store.write_file(spark, f"file://{path}", text)
+        assert path.read_text() == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["report.json"]
+
+
+def test_models_see_a_track_at_a_time(spark):
+    from quern.operators.embed import embedded_texts, embedded_tracks
+
+    rows = [(t, w, [float(t), float(w)]) for t in range(5) for w in (2, 0, 1)]
+    windows = spark.createDataFrame(rows, "track_id long, window int, samples array<double>")
+    model = lambda batch: np.array([[len(batch), *x] for x in batch])
+    got = sorted((r.track_id, r.window, r.vector) for r in embedded_tracks(windows, model, 2).collect())
+    assert got == [(t, w, [3.0, float(t), float(w)]) for t in range(5) for w in range(3)]
+    with pytest.raises(Exception, match="3 samples"):
+        embedded_tracks(windows, model, 3).collect()
+    with pytest.raises(Exception, match="a vector for each"):
+        embedded_tracks(windows, lambda batch: np.zeros((1, 2)), 2).collect()
+    texts = spark.createDataFrame([(1, "ab"), (2, "  "), (3, None), (4, "c")], "id long, text string")
+    assert sorted((r.id, r.vector) for r in embedded_texts(texts, lambda batch: np.array([[len(x)] for x in batch])).collect()) == [(1, [2.0]), (4, [1.0])]
+
+
 def test_held_out_lists_are_kept_and_refused(spark, tmp_path):
     path = str(tmp_path / "h")
     first = serving.held_out(spark, DATA, path).collect()
