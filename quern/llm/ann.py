@@ -1,14 +1,14 @@
 """Operator 1: approximate nearest neighbours by cross-polytope hashing.
 
 A rotation's hash of a unit vector is the signed axis nearest to it after a pseudo-random rotation: three rounds of random signs
-and a fast Hadamard transform. A table hashes by several rotations one after the other, as many axes as make about four cells
+and a fast Hadamard transform. A table hashes by several rotations one after the other, as many axes as make one or two cells
 for each vector (the last rotation takes part of the axes), so that cells stay small however many vectors there are. A query
-probes, in each table, the PROBES cells of the largest sums of its components on their axes; vectors in those cells are scored
-exactly and the k best of all tables kept. For the largest inner product among vectors of any length, a candidate x gets one
+probes, in each table, the cells of the largest sums of its components on their axes, PROBES of them for each cell that a table has
+for a vector; vectors in those cells are scored exactly and the k best of all tables kept. For the largest inner product among vectors of any length, a candidate x gets one
 component more, sqrt(1 - |x|^2 / m^2) with m the largest length, and is divided by m; if all are of one length there is none.
 
 Cells that share their leading axes make a group of about BLOCK vectors. A query is sent once to each group that holds a cell
-it probes, with the least sum that it probes, from which the group's task finds the cells again. A group over twice BLOCK vectors,
+it probes; the group's task finds the cells again from the vector. A group over twice BLOCK vectors,
 or sought by over BLOCK queries, is dealt out in parts that meet each other once, and each meeting hands on k rows a query. Of
 equal vectors, the k + 1 smallest ids alone are kept: no other can be among the k best, as ties go to the smaller id, so a
 group of copies of any size is a few rows. Queries that have found fewer than k go through all vectors, in blocks, so a small
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import saved
 
-TABLES, PROBES, BLOCK, SEED = 16, 1_000, 16_384, 20
-#: Cells for each vector, as a power of two, and the fewest cells that a table has.
-SPARE, FEWEST = 2, 256
+TABLES, PROBES, BLOCK, SEED = 16, 220, 16_384, 20
+FEWEST = 256  #: cells that a table has
 KEYS = ("tab", "grp", "c", "q")
 FOUND = "query_id long, vec_id long, score double, scored long"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("scored", pa.int64())])
@@ -54,11 +53,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """How tables hash: the width of rotations (a power of two), the bits of each rotation's axes, and of a group's number."""
+    """How tables hash: the width of rotations (a power of two), the bits of each rotation's axes, and of a group's number, and
+    how many cells a query probes."""
 
     width: int
     bits: tuple[int, ...]
     group: int
+    probes: int
 
     @property
     def total(self) -> int:
@@ -67,9 +68,9 @@ class Shape:
 
 def shape_of(n: int, width: int) -> Shape:
     whole = (2 * width).bit_length() - 1
-    want = max(FEWEST.bit_length() - 1, (max(n, 2) - 1).bit_length() + SPARE)
+    want = max(FEWEST.bit_length() - 1, (max(n, 2) - 1).bit_length())
     bits = [whole] * (want // whole) + ([want % whole] if want % whole else [])
-    return Shape(width, tuple(bits), min(sum(bits), max(0, (-(-n // BLOCK) - 1).bit_length())))
+    return Shape(width, tuple(bits), min(sum(bits), max(0, (-(-n // BLOCK) - 1).bit_length())), min(1 << want, -(-PROBES * (1 << want) // max(n, 1))))
 
 
 @lru_cache(maxsize=8)
@@ -96,30 +97,29 @@ def cells(x: np.ndarray, shape: Shape, table: int) -> np.ndarray:
     return code
 
 
-def reached(parts: list[np.ndarray], bits: tuple[int, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cells whose sum of a query's components is `least` or more, with their sums. Prefixes that even the largest
-    components of the rotations to come don't lift to it are left out on the way."""
-    code, total = np.zeros(1, np.int64), np.zeros(1)
-    rest = np.cumsum([0.0, *(y.max() for y in parts[:0:-1])])[::-1]
-    for y, b, more in zip(parts, bits, rest, strict=True):
-        sums = total[:, None] + y
-        i, j = np.nonzero(sums >= least - more - 1e-12)
-        code, total = code[i] << b | j, sums[i, j]
-    on = total >= least
-    return code[on], total[on]
-
-
-def least_of(parts: list[np.ndarray], bits: tuple[int, ...], count: int) -> float:
-    """The smallest of the `count` largest sums of a query's components, one axis from each rotation."""
-    if 1 << sum(bits) <= count:
-        return -np.inf
-    total = np.zeros(1)
-    for y in parts:
-        # the count largest of all are sums of the count largest so far
-        total = (total[:, None] + np.sort(y)[::-1][None, : min(len(y), count)]).ravel()
-        if len(total) > count:
-            total = np.partition(total, len(total) - count)[-count:]
-    return float(total.min())
+@lru_cache(maxsize=64)
+def leading(n: int, m: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two falling lists of n and m numbers whose sums can be among the `count` largest: those before them, at the same
+    place or earlier in both lists, are no smaller."""
+    i, j = np.nonzero(np.arange(1, n + 1)[:, None] * np.arange(1, m + 1) <= count)
+    return i, j
+
+
+def probed(parts: list[np.ndarray], shape: Shape) -> np.ndarray:
+    """The cells of the largest sums of each row's components, one axis from each rotation: rows x probes."""
+    total, code = np.zeros((len(parts[0]), 1)), np.zeros((len(parts[0]), 1), np.int64)
+    for y, b in zip(parts, shape.bits, strict=True):
+        order = np.argsort(-y, 1, kind="stable")
+        i, j = leading(total.shape[1], y.shape[1], shape.probes)
+        sums = total[:, i] + np.take_along_axis(y, order, 1)[:, j]
+        if sums.shape[1] > shape.probes:
+            best = np.argpartition(-sums, shape.probes - 1, axis=1)[:, : shape.probes]
+        else:
+            best = np.tile(np.arange(sums.shape[1]), (len(sums), 1))
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sums, best, 1), 1, kind="stable"), 1)
+        total = np.take_along_axis(sums, best, 1)
+        code = np.take_along_axis(code[:, i] << b | order[:, j], best, 1)
+    return code
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -141,12 +141,13 @@ def unit(x: np.ndarray, width: int, longest: float | None) -> np.ndarray:
 
 
 PLACED = "tab int, grp int, cell long, vec_id long, vector {0}"
-ASKED = "tab int, grp int, least double, vec_id long, vector {0}"
+ASKED = "tab int, grp int, vec_id long, vector {0}"
 
 
-def _rows(batch: pa.RecordBatch, row: np.ndarray, names: tuple[str, str, str], tab, grp, value, kind) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, row: np.ndarray, tab: int, grp: np.ndarray, cell: np.ndarray | None = None) -> pa.RecordBatch:
     take = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(tab, pa.int32()), pa.array(grp, pa.int32()), pa.array(value, kind), batch.column("vec_id").take(take), batch.column("vector").take(take)], names=[*names, "vec_id", "vector"])
+    columns = {"tab": pa.array(np.full(len(row), tab), pa.int32()), "grp": pa.array(grp, pa.int32()), "cell": None if cell is None else pa.array(cell), "vec_id": batch.column("vec_id").take(take), "vector": batch.column("vector").take(take)}
+    return pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if v is not None})
 
 
 def placed(vectors: DataFrame, shape: Shape, width: int, longest: float) -> DataFrame:
@@ -159,29 +160,23 @@ def placed(vectors: DataFrame, shape: Shape, width: int, longest: float) -> Data
                 x = unit(matrix(part.column("vector"), shape.width), width, longest)
                 for t in range(TABLES):
                     code = cells(x, shape, t)
-                    yield _rows(part, np.arange(len(x)), ("tab", "grp", "cell"), np.full(len(x), t), code >> (shape.total - shape.group), code, pa.int64())
+                    yield _rows(part, np.arange(len(x)), t, code >> (shape.total - shape.group), code)
 
     return vectors.mapInArrow(run, PLACED.format(vectors.schema["vector"].dataType.simpleString()))
 
 
 def asking(vectors: DataFrame, shape: Shape) -> DataFrame:
-    """Each query once for every group that holds a cell which it probes, with the least sum that it probes in the table."""
+    """Each query once for every group that holds a cell which it probes."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 x = unit(matrix(part.column("vector"), shape.width), 0, None)
                 for t in range(TABLES):
-                    parts = components(x, shape, t)
-                    row, grp, least = [], [], []
-                    for i in range(len(x)):
-                        own = [y[i] for y in parts]
-                        low = least_of(own, shape.bits, PROBES)
-                        groups = np.unique(reached(own, shape.bits, low)[0] >> (shape.total - shape.group)) if shape.group else np.zeros(1, np.int64)
-                        row.append(np.full(len(groups), i)), grp.append(groups), least.append(np.full(len(groups), low))
-                    row = np.concatenate(row)
-                    yield _rows(part, row, ("tab", "grp", "least"), np.full(len(row), t), np.concatenate(grp), np.concatenate(least), pa.float64())
+                    groups = np.sort(probed(components(x, shape, t), shape) >> (shape.total - shape.group), 1)
+                    row, c = np.nonzero(np.diff(groups, axis=1, prepend=-1))
+                    yield _rows(part, row, t, groups[row, c])
 
     return vectors.mapInArrow(run, ASKED.format(vectors.schema["vector"].dataType.simpleString()))
 
@@ -210,13 +205,14 @@ def probe(queries: DataFrame, candidates: DataFrame, shape: Shape, width: int, k
         right = right.sort_by("cell")
         cell, ids = right.column("cell").to_numpy(), right.column("vec_id").to_numpy()
         c, q = (matrix(t.column("vector").combine_chunks(), width) for t in (right, left))
-        asked, least = left.column("vec_id").to_numpy(), left.column("least").to_numpy()
-        table, group = left.column("tab")[0].as_py(), left.column("grp")[0].as_py()
-        parts = components(unit(np.pad(q, ((0, 0), (0, shape.width - width))), 0, None), shape, table)
+        asked, table, group = left.column("vec_id").to_numpy(), left.column("tab")[0].as_py(), left.column("grp")[0].as_py()
         out: list[tuple] = []
         for i in range(len(q)):
-            wanted = reached([y[i] for y in parts], shape.bits, least[i])[0]
-            wanted = wanted[wanted >> (shape.total - shape.group) == group]
+            if i % 256 == 0:
+                some = unit(np.pad(q[i : i + 256], ((0, 0), (0, shape.width - width))), 0, None)
+                all_ = probed(components(some, shape, table), shape)
+            wanted = all_[i % 256]
+            wanted = np.sort(wanted[wanted >> (shape.total - shape.group) == group])
             lo, hi = np.searchsorted(cell, wanted, "left"), np.searchsorted(cell, wanted, "right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -288,6 +284,12 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scored")
 
 
+def spread(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """The rows over enough tasks for `each` in one, but no more tasks than a shuffle has."""
+    want = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, "vec_id")
+
+
 def salt(parts: Column) -> Column:
     return F.pmod(F.xxhash64("vec_id"), parts).cast("int")
 
@@ -303,16 +305,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     # of equal vectors, those that can be among the k best of any query; partial limits come before the shuffle
     rows = saved(every.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("_r") <= k + 1).drop("_r"), "candidates")
     asked = every.filter(is_query)
+    n_asked = asked.count()
     even = size.shortest >= size.longest * (1 - 1e-6)
     shape = shape_of(size.n, 1 << (size.width - 1 if even else size.width).bit_length())
-    own, probing = placed(rows, shape, size.width, size.longest), asking(asked, shape)
+    own, probing = placed(spread(rows, size.n, BLOCK // 4), shape, size.width, size.longest), asking(spread(asked, n_asked, 256), shape)
     # a row for each group of each table
     held = own.groupBy("tab", "grp").agg(F.greatest(F.lit(1), F.round(F.count("*") / BLOCK)).cast("int").alias("c_parts"))
     sought = probing.groupBy("tab", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
     parts = saved(held.join(sought, ["tab", "grp"]), "groups")
     left = probing.join(parts, ["tab", "grp"]).withColumn("q", salt(F.col("q_parts"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)))
     right = own.join(parts, ["tab", "grp"]).withColumn("c", salt(F.col("c_parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-    found = saved(ranked(probe(left.select(*KEYS, "least", "vec_id", "vector"), right.select(*KEYS, "cell", "vec_id", "vector"), shape, size.width, k), k), "found")
+    found = saved(ranked(probe(left.select(*KEYS, "vec_id", "vector"), right.select(*KEYS, "cell", "vec_id", "vector"), shape, size.width, k), k), "found")
     few = saved(asked.join(found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(k, size.n - 1)), "vec_id", "left_anti"), "few")
     n = few.count()
     if not n:
