@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import saved
 
-TABLES, PROBES, BLOCK, SEED = 16, 220, 16_384, 20
+TABLES, PROBES, BLOCK, SEED = 20, 180, 16_384, 20
 FEWEST = 256  #: cells that a table has
 KEYS = ("tab", "grp", "c", "q")
 FOUND = "query_id long, vec_id long, score double, scored long"
