@@ -9,7 +9,7 @@ component more, sqrt(1 - |x|^2 / m^2) with m the largest length, and is divided
 
 Cells that share their leading axes make a group of about BLOCK vectors. A query is sent once to each group that holds a cell
 it probes; the group's task finds the cells again from the vector. A group over twice BLOCK vectors,
-or sought by over BLOCK queries, is dealt out in parts that meet each other once, and each meeting hands on k rows a query. Of
+or sought by over ASKED_AT_ONCE queries, is dealt out in parts that meet each other once, and each meeting hands on k rows a query. Of
 equal vectors, the k + 1 smallest ids alone are kept: no other can be among the k best, as ties go to the smaller id, so a
 group of copies of any size is a few rows. Queries that have found fewer than k go through all vectors, in blocks, so a small
 table is searched whole.
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import saved
 
-TABLES, PROBES, BLOCK, SEED = 20, 180, 16_384, 20
+TABLES, PROBES, SEED = 20, 180, 20
+#: Vectors of a group, queries that meet a group at once, and both sides of a block where queries go through all vectors.
+BLOCK, ASKED_AT_ONCE, WHOLE = 65_536, 16_384, 16_384
 FEWEST = 256  #: cells that a table has
 KEYS = ("tab", "grp", "c", "q")
 FOUND = "query_id long, vec_id long, score double, scored long"
@@ -248,7 +250,7 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k
 
 
 def meet(queries: DataFrame, candidates: DataFrame, keys: tuple[str, ...], width: int, k: int) -> DataFrame:
-    """Exact scores within each key; both sides have the keys, vec_id and vector, and at most BLOCK rows or so a key."""
+    """Exact scores within each key; both sides have the keys, vec_id and vector, and at most WHOLE rows or so a key."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
@@ -308,10 +310,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     n_asked = asked.count()
     even = size.shortest >= size.longest * (1 - 1e-6)
     shape = shape_of(size.n, 1 << (size.width - 1 if even else size.width).bit_length())
-    own, probing = placed(spread(rows, size.n, BLOCK // 4), shape, size.width, size.longest), asking(spread(asked, n_asked, 256), shape)
+    own, probing = placed(spread(rows, size.n, 4_096), shape, size.width, size.longest), asking(spread(asked, n_asked, 256), shape)
     # a row for each group of each table
     held = own.groupBy("tab", "grp").agg(F.greatest(F.lit(1), F.round(F.count("*") / BLOCK)).cast("int").alias("c_parts"))
-    sought = probing.groupBy("tab", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
+    sought = probing.groupBy("tab", "grp").agg(F.ceil(F.count("*") / ASKED_AT_ONCE).cast("int").alias("q_parts"))
     parts = saved(held.join(sought, ["tab", "grp"]), "groups")
     left = probing.join(parts, ["tab", "grp"]).withColumn("q", salt(F.col("q_parts"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)))
     right = own.join(parts, ["tab", "grp"]).withColumn("c", salt(F.col("c_parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
@@ -320,7 +322,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     n = few.count()
     if not n:
         return found
-    c_parts, q_parts = -(-size.n // BLOCK), -(-n // BLOCK)
+    c_parts, q_parts = -(-size.n // WHOLE), -(-n // WHOLE)
     left = few.withColumn("q", salt(F.lit(q_parts))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))))
     right = rows.withColumn("c", salt(F.lit(c_parts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
     whole = meet(left, right, ("c", "q"), size.width, k)
