@@ -68,6 +68,17 @@ def test_nearest_recall_and_scores(spark, folder, share):
         assert got.scored.mean() < share * len(ids)
 
 
+def test_nearest_over_many_groups(spark, monkeypatch):
+    """Groups of few vectors, dealt out in parts on both sides, find what one group finds."""
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    v = v.unionByName(v.select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("vector", lambda x: -x).alias("vector")))
+    once = {tuple(r) for r in ann.nearest(v, F.col("vec_id") % 20 == 0, 20).collect()}
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "ASKED_AT_ONCE", 8)
+    assert ann.shape_of(1_000, 64).group == 5
+    assert {tuple(r) for r in ann.nearest(v, F.col("vec_id") % 20 == 0, 20).collect()} == once and len(once) == 50 * 20
+
+
 def test_nearest_with_ties_copies_and_other_columns(spark):
     """Thousands of equal vectors, rows that repeat, and ties at the last rank: the smallest ids win."""
     same = [(i, [1.0, 0.0, 0.0], "x") for i in range(3000)]
