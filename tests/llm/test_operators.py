@@ -687,6 +687,27 @@ def test_decontamination_item_without_id(spark):
     assert [r.doc_id for r in decontam.without(df, items).collect()] == [2]
 
 
+def test_decontamination_of_repeated_rows(spark):
+    """Items and documents that repeat are reported each time; of equally good places the first counts; columns may clash."""
+    item = " ".join(f"w{k}" for k in range(12))
+    items = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    df = spark.createDataFrame([(5, f"a {item} b {item}"), (5, f"a {item} b {item}"), (6, None), (7, "")], "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("item_id", F.lit(3))
+    got = sorted(tuple(r) for r in decontam.find(df, items).collect())
+    assert got == sorted([(5, i, 1.0, 1, 12) for i in (1, 1, 2)] * 2)
+    left = decontam.without(df, items)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [6, 7]
+
+
+def test_language_model_of_very_long_texts(spark):
+    """A text far longer than all others, and columns whose names the operator uses itself."""
+    r = np.random.default_rng(6)
+    long = " ".join(f"w{k}" for k in r.integers(0, 50, 300_000).tolist())
+    df = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "ids", "held_out", "base", "model", "tails", "c")})
+    got = {r.doc_id: r for r in lm.score(df, F.lit(False)).collect()}
+    assert (got[1].n_tokens, got[2].n_tokens, got[3].n_tokens) == (300_001, 3, 1) and got[1].n_known == 300_001
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
 def test_local_alignment():
     score, first, last = decontam.align(np.array([9, 9, 1, 2, 3, 8, 4, 9]), np.array([1, 2, 3, 4]))
     assert (score, first, last) == (7, 2, 6)
