@@ -247,8 +247,8 @@ class Encoder:
         known = self.known
         return [[*chain.from_iterable([known[c] for c in one]), *end] for one in cuts]
 
-    def digests(self, docs: list[str]) -> tuple[list[int], list[str], list[str]]:
-        """Number of ids, SHA-256 of the ids and of the decoded text of each document."""
+    def digests(self, docs: list[str], keep: list[np.ndarray] | None = None) -> tuple[list[int], list[str], list[str]]:
+        """Number of ids, SHA-256 of the ids and of the decoded text of each document; the ids themselves go to `keep`."""
         cuts = self.cut(docs)
         known, end, said = self.known, self.model.end, self.said
         n, a, b = [], [], []
@@ -256,6 +256,8 @@ class Encoder:
             ids = list(chain.from_iterable([known[c] for c in one]))
             ids.append(end)
             n.append(len(ids))
+            if keep is not None:
+                keep.append(np.array(ids, np.int32))
             a.append(hashlib.sha256(" ".join([said[i] for i in ids]).encode()).hexdigest())
             b.append(hashlib.sha256(self.library.decode(ids).encode()).hexdigest())
         return n, a, b
@@ -311,9 +313,9 @@ def encoded(df: DataFrame, model: str) -> DataFrame:
     def run(batches):
         e = encoder(model)
         for b in sliced(batches, "text", 4 << 20):
-            docs = strings(b.column("text"))
-            n, a, c = e.digests(docs)
-            ids = pa.array(e.encode(docs), pa.list_(pa.int32()))
+            found: list[np.ndarray] = []
+            n, a, c = e.digests(strings(b.column("text")), found)
+            ids = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string()), b.column("document")], names=schema.names)
 
     return rows.mapInArrow(run, schema)
