@@ -161,6 +161,36 @@ def test_full_beam_is_exact():
         assert np.allclose(dist[i], np.sort(d)[:10], atol=1e-6)
 
 
+def test_full_beam_does_not_go_step_by_step(monkeypatch):
+    """A beam as wide as the shard sorted a row as long as the shard for each node that it expanded."""
+    x = np.concatenate([unit(900, 16, 40), np.repeat(unit(3, 16, 41), 40, 0)])
+    ids = np.random.default_rng(42).permutation(len(x)) * 7
+    g = graph.Shard(x, ids, 4, 40).build()
+    q = np.concatenate([unit(20, 16, 43), x[900::40]])
+    stepwise, _ = g.beam(q, np.full(len(q), g.entry), len(x), 0, np.zeros(len(q), np.int64))
+    monkeypatch.setattr(graph.Shard, "beam", None)
+    monkeypatch.setattr(graph, "HELD", 3_000)  # a few queries at a time
+    node, dist, spent = g.nearest(q, 12, len(x))
+    for i in range(len(q)):
+        score = np.round(x @ q[i], 9)
+        assert node[i].tolist() == np.lexsort((ids, -score))[:12].tolist()  # copies too: by id
+        assert set(node[i].tolist()) <= set(stepwise[i].tolist()) and np.allclose(1 - dist[i], score[node[i]], atol=1e-9)
+    assert (spent >= len(x)).all()
+
+
+def test_full_beam_keeps_to_what_its_start_leads_to():
+    x = unit(30, 8, 44)
+    g = graph.Shard(x, np.arange(30), 2, 20).build()
+    table = g.layers[0]
+    for v in table:  # from 0-19 nothing leads to 20-29
+        v[:] = np.r_[v[v < 20], np.full(4, -1)][:4]
+    g._joined = 0
+    lead = g.leads(np.array([g.entry]), np.zeros(30, bool))
+    g.top = 0
+    node, _, spent = g.nearest(x[:5], 30, 30)
+    assert all(set(n[n >= 0].tolist()) == set(np.flatnonzero(lead).tolist()) for n in node) and (spent >= lead.sum()).all()
+
+
 def clustered():
     r = np.random.default_rng(9)
     centers = unit(20, 32, 9)
