@@ -191,6 +191,35 @@ def test_full_beam_keeps_to_what_its_start_leads_to():
     assert all(set(n[n >= 0].tolist()) == set(np.flatnonzero(lead).tolist()) for n in node) and (spent >= lead.sum()).all()
 
 
+@pytest.mark.parametrize("copies", [25, 400])
+def test_every_node_can_be_reached(copies):
+    """Copies filled each other's links, and nothing led to them."""
+    x = np.concatenate([unit(500, 16, 45), np.repeat(unit(800 // copies, 16, 46), copies, 0)])
+    g = graph.Shard(x, np.arange(len(x))).build()
+    for f in (g.leads, g.led):
+        assert f(np.array([g.entry]), np.zeros(len(x), bool)).all()
+    near = g.layers[0]
+    assert all(len(set(v[v >= 0].tolist())) == (v >= 0).sum() and (v[: (v >= 0).sum()] >= 0).all() and i not in v for i, v in enumerate(near))
+    node, _, _ = g.nearest(x[500::copies], 20, len(x))
+    assert [n.tolist() for n in node] == [list(range(at, at + 20)) for at in range(500, 1300, copies)]
+
+
+def test_links_to_and_from_what_is_cut_off():
+    x = unit(40, 8, 47)
+    g = graph.Shard(x, np.arange(40), 2, 20).build()
+    ring = np.arange(40)
+    g.layers[0][:] = -1
+    half = ring // 20 * 20
+    for k in range(4):  # two parts, each in itself, all places taken
+        g.layers[0][:, k] = half + (ring - half + k + 1) % 20
+    g.connect()
+    for f in (g.leads, g.led):
+        assert f(np.array([g.entry]), np.zeros(40, bool)).all()
+    before = g.layers[0].copy()
+    g.connect()
+    assert (g.layers[0] == before).all()
+
+
 def clustered():
     r = np.random.default_rng(9)
     centers = unit(20, 32, 9)
