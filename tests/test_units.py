@@ -563,3 +563,18 @@ def test_binomial_tail_of_many_trials(spark):
 
     orders = spark.createDataFrame([Row(g="x", n=n, k=n // 2)])
     assert orders.select(catalogue.tail(F.col("n"), F.col("k")).alias("p")).first().p == pytest.approx(exact_half, abs=1e-9)
+
+
+def test_a_stored_graph_of_copies_is_searched_whole(spark, tmp_path):
+    x = np.concatenate([unit(120, 8, 48), np.repeat(unit(4, 8, 49), 60, 0)])
+    segs = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "row_id long, shard int, vector array<double>")
+    path = str(tmp_path / "g")
+    graph.build_stored(spark, segs, path, 2, 20, at_once=2, stop_after=1)
+    assert graph.build_stored(spark, segs, path, 2, 20, at_once=2)
+    kept = graph.load_stored(spark, segs, path, 2, 20, at_once=2)
+    got = graph.search(kept, segs.filter("row_id % 60 = 0"), 10, 120, 2).collect()
+    for i in range(0, 360, 60):
+        score = np.round(x @ x[i], 9)
+        score[i] = -9
+        mine = sorted((r for r in got if r.query_row == i), key=lambda r: r.rank)
+        assert [r.row_id for r in mine] == np.lexsort((np.arange(360), -score))[:10].tolist()
