@@ -6,10 +6,10 @@ documents have vectors of their own and belong to CLASSES classes, runs of the o
 counts; the end is a class by itself. All other words share one class, TAIL, and one vector; within it the training counts
 tell them apart, (c + 1) / (N + V + 1) over the tail. Softmaxes begin as the training documents' frequencies.
 
-Training reads every training document whole, once, by truncated backpropagation: documents follow each other in STREAMS streams
-whose state goes on from word to word, and after every STRIDE words the gradient of the last STEPS of them is taken. The first
-WARM words (drawn over the whole table; all, if there are fewer) train one unit in one task, PASSES times and with a stride of
-STEPS. The other documents come in rounds, each GROWTH times as large as the one before: in a round every task trains the
+Training learns from every word of every training document, by truncated backpropagation: documents follow each other in STREAMS
+streams whose state goes on from word to word, and after every STEPS words the gradient of all of them is taken. The first WARM
+words (drawn over the whole table; all, if there are fewer) train one unit in one task, PASSES times. The other documents come,
+once, in rounds, each GROWTH times as large as the one before: in a round every task trains the
 unit it is given on its own part of the table, and the changes of all tasks are averaged by the words they were learned from,
 in a tree of groups of FAN. So what is learned grows with the corpus, while what is broadcast, sent to the driver or held by a task is a
 unit and HEAD counts at most.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import dropped, saved, sliced, strings, texts
 
 HEAD, SHORT, CLASSES = 200_000, 4_096, 64
-HIDDEN, STEPS, STRIDE, STREAMS = 32, 32, 512, 128
+HIDDEN, STEPS, STREAMS = 32, 32, 128
 WARM, PASSES, GROWTH, FAN = 600_000, 2, 16, 6
 RATES = (0.01, 0.005)  #: of the first words, at their beginning, and of all rounds
 EPSILON = 1e-7
@@ -160,61 +160,77 @@ class Unit:
     def window(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray | None = None) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
         """Loss a word, last state and gradients of one window; given, target and weigh (0: no loss there): steps x streams."""
         k, p = self.hidden, self.p
-        steps, kept = len(given), []
+        steps, streams = given.shape
+        alive = (given != 0).astype(np.float32)[:, :, None]
+        x = p["x"][given]
+        # of every step: the state that it begins with, cut off at ends, its gates, what reset leaves, the new part and its end
+        begun, gates, left, new, states = (np.empty((steps, streams, n * k), p["u"].dtype) for n in (1, 2, 1, 1, 1))
         for t in range(steps):
-            alive = (given[t] != 0).astype(np.float32)[:, None]
-            h0 = h * alive
-            x = p["x"][given[t]]
-            g = sigmoid(x[:, : 2 * k] + h0 @ p["u"])
-            z, r = g[:, :k], g[:, k:]
-            rh = r * h0
-            n = np.tanh(x[:, 2 * k :] + rh @ p["n"])
-            h = h0 + z * (n - h0)
-            kept.append((alive, h0, g, rh, n))
-        grad = {key: np.zeros_like(v) for key, v in p.items()}
-        # states after each step are the next one's before it was cut off at ends
-        states = np.concatenate([(a[1] + a[2][:, :k] * (a[4] - a[1])) for a in kept])
-        loss, back = self.output(states, target.ravel(), grad, None if weigh is None else weigh.ravel())
-        back = back.reshape(steps, -1, k)
-        dh = np.zeros_like(h)
-        dx = np.empty((steps, h.shape[0], 3 * k), np.float32)
+            h0 = np.multiply(h, alive[t], out=begun[t])
+            g = np.matmul(h0, p["u"], out=gates[t])
+            g += x[t, :, : 2 * k]
+            sigmoid(g)
+            rh = np.multiply(g[:, k:], h0, out=left[t])
+            n = np.matmul(rh, p["n"], out=new[t])
+            n += x[t, :, 2 * k :]
+            np.tanh(n, out=n)
+            h = np.subtract(n, h0, out=states[t])
+            h *= g[:, :k]
+            h += h0
+        h = h.copy()
+        grad = {key: np.empty_like(v) if key in ("u", "n", "o", "b") else np.zeros_like(v) for key, v in p.items()}
+        loss, back = self.output(states.reshape(-1, k), target.ravel(), grad, None if weigh is None else weigh.ravel())
+        back = back.reshape(steps, streams, k)
+        # slopes that do not depend on those of later steps
+        z = gates[:, :, :k]
+        by_new, by_gate, stay = z * (1 - new * new), gates * (1 - gates), 1 - z
+        by_gate[:, :, :k] *= new - begun
+        by_gate[:, :, k:] *= begun
+        dh, to_u, to_n = np.zeros((streams, k), p["u"].dtype), np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["n"].T)
+        dx = np.empty((steps, streams, 3 * k), p["u"].dtype)
         for t in range(steps - 1, -1, -1):
-            alive, h0, g, rh, n = kept[t]
-            z, r = g[:, :k], g[:, k:]
-            dh = dh + back[t]
-            dn = dh * z * (1 - n * n)
-            drh = dn @ p["n"].T
-            dg = np.concatenate([dh * (n - h0), drh * h0], 1) * g * (1 - g)
-            grad["n"] += rh.T @ dn
-            grad["u"] += h0.T @ dg
-            dx[t] = np.concatenate([dg, dn], 1)
-            dh = (dh * (1 - z) + drh * r + dg @ p["u"].T) * alive
+            dh += back[t]
+            dn = np.multiply(dh, by_new[t], out=dx[t, :, 2 * k :])
+            drh = dn @ to_n
+            dg = dx[t, :, : 2 * k]
+            np.multiply(dh, by_gate[t, :, :k], out=dg[:, :k])
+            np.multiply(drh, by_gate[t, :, k:], out=dg[:, k:])
+            dh *= stay[t]
+            drh *= gates[t, :, k:]
+            dh += drh
+            dh += dg @ to_u
+            dh *= alive[t]
+        dx = dx.reshape(-1, 3 * k)
+        grad["n"][:] = left.reshape(-1, k).T @ dx[:, 2 * k :]
+        grad["u"][:] = begun.reshape(-1, k).T @ dx[:, : 2 * k]
         order = np.argsort(given.ravel(), kind="stable")
         sorted_ = given.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        grad["x"][sorted_[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first)
+        grad["x"][sorted_[first]] = np.add.reduceat(dx[order], first)
         return loss, h, grad
 
     def output(self, states: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray], weigh: np.ndarray | None) -> tuple[float, np.ndarray]:
         """Loss a word of both softmaxes, and its slope by the states; adds the slopes by the weights to grad."""
         p, klass, row = self.p, self.klass[target], np.arange(len(target))
         share = np.full(len(target), 1 / len(target), np.float32) if weigh is None else (weigh / max(1e-9, weigh.sum())).astype(np.float32)
-        z = states @ p["o"] + p["b"]
-        z -= _log_sum(z)[:, None]
-        loss = -float((z[row, klass] * share).sum())
-        d = np.exp(z)
+        z = states @ p["o"]
+        z += p["b"]
+        own = z[row, klass]
+        d, total = _soft(z)
+        loss = -float(((own - total) * share).sum())
         d[row, klass] -= 1
         d *= share[:, None]
         grad["o"], grad["b"] = states.T @ d, d.sum(0)
         back = d @ p["o"].T
         for where, lo, hi in self.runs(klass):
             s, w = states[where], p["w"][lo:hi]
-            z = s @ w.T + p["c"][lo:hi]
-            z -= _log_sum(z)[:, None]
-            own = (row[: len(where)], target[where] - lo)
-            loss -= float((z[own] * share[where]).sum())
-            d = np.exp(z)
-            d[own] -= 1
+            z = s @ w.T
+            z += p["c"][lo:hi]
+            at = (row[: len(where)], target[where] - lo)
+            own = z[at]
+            d, total = _soft(z)
+            loss -= float(((own - total) * share[where]).sum())
+            d[at] -= 1
             d *= share[where, None]
             grad["w"][lo:hi], grad["c"][lo:hi] = d.T @ s, d.sum(0)
             back[where] += d @ w
@@ -271,6 +287,18 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return np.log(np.exp(z - top[:, None]).sum(1)) + top
 
 
+def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row, in its place, and the logarithm of its sum of exponentials."""
+    top = 0.0
+    if not (-60 < z.min(initial=0) and z.max(initial=0) < 60):
+        top = z.max(1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z /= total[:, None]
+    return z, np.log(total) + top
+
+
 class Learner:
     """Adam over what runs through the streams of a unit."""
 
@@ -324,17 +352,23 @@ class Learner:
 
     def update(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray) -> np.ndarray:
         loss, h, grad = self.unit.window(h, given, target, weigh)
-        size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         self.done += 1
         pace = self.rate * float(weigh.sum()) / (STEPS * len(self.queue))  # what few streams are left with moves little
         for key, g in grad.items():
-            g = g * min(1.0, 1.0 / (size + 1e-9))
             m, v = self.m[key], self.v[key]
+            g *= min(1.0, 1.0 / (size + 1e-9)) * 0.1
             m *= 0.9
-            m += 0.1 * g
+            m += g
+            g *= g  # a hundredth of the square
             v *= 0.99
-            v += 0.01 * g * g
-            self.unit.p[key] -= pace * (m / (1 - 0.9**self.done)) / (np.sqrt(v / (1 - 0.99**self.done)) + EPSILON)
+            v += g
+            np.multiply(v, 1 / (1 - 0.99**self.done), out=g)
+            np.sqrt(g, out=g)
+            g += EPSILON
+            np.divide(m, g, out=g)
+            g *= pace / (1 - 0.9**self.done)
+            self.unit.p[key] -= g
         self.learned += int(weigh.sum())
         self.losses.append(loss)
         return h
@@ -500,7 +534,7 @@ def rounds(rows: DataFrame, total: int) -> list[tuple[DataFrame, float, int, int
     while hi < 1:
         lo, size = hi, size * GROWTH
         hi = 1.0 if lo + size > 0.9 else lo + size
-        parts.append((place.filter((F.col("_u") >= lo) & (F.col("_u") < hi)).select("ids"), RATES[1], STRIDE, 1))
+        parts.append((place.filter((F.col("_u") >= lo) & (F.col("_u") < hi)).select("ids"), RATES[1], STEPS, 1))
     return parts
 
 

@@ -315,6 +315,20 @@ def test_rounds_cover_all_documents(spark, monkeypatch):
     assert [p.count() for p, *_ in parts] == sorted(p.count() for p, *_ in parts)
 
 
+def test_every_word_of_every_round_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM", 20_000)
+    r = np.random.default_rng(11)
+    docs = [np.append(r.integers(1, 9, n), 0) for n in r.integers(0, 2_000, 120)]
+    rows = spark.createDataFrame([(d.astype("<u2").tobytes(),) for d in docs], "ids binary").repartition(3)
+    unit = lm.Unit(np.arange(9.0, 0, -1), hidden=4, classes=3)
+    learned = 0
+    parts = lm.rounds(rows, sum(map(len, docs)))
+    assert len(parts) > 1
+    for part, rate, stride, passes in parts:
+        learned += sum(r.learned // passes for r in lm.changes(part, unit, rate, stride, passes).collect())
+    assert learned == sum(map(len, docs))
+
+
 def test_later_rounds_teach(spark, monkeypatch):
     monkeypatch.setattr(lm, "WARM", 100_000)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
