@@ -578,3 +578,38 @@ def test_a_stored_graph_of_copies_is_searched_whole(spark, tmp_path):
         score[i] = -9
         mine = sorted((r for r in got if r.query_row == i), key=lambda r: r.rank)
         assert [r.row_id for r in mine] == np.lexsort((np.arange(360), -score))[:10].tolist()
+
+
+def test_new_nodes_meet_a_small_shard_in_a_matrix_product(monkeypatch):
+    x = unit(700, 8, 50)
+
+    def beam(*_):
+        raise AssertionError("a beam")
+
+    with monkeypatch.context() as m:
+        m.setattr(graph.Shard, "beam", beam)
+        g = graph.Shard(x, np.arange(700), 4, 20).extend(400)
+    inserted = g.order[: g.done]
+    assert 100 < g.done <= 400
+    node, dist = g.met(x[:50], 0)
+    best = np.argsort(1 - x[:50] @ x[inserted].T, 1)[:, :20]
+    assert (node == inserted[best]).all() and (np.diff(dist, axis=1) >= 0).all()
+    monkeypatch.setattr(graph, "MET", g.done)  # the rest goes by beams
+    g.build()
+    assert g.joined() and g.done == 700
+    found = g.nearest(x[:50], 5, 700)[0]
+    assert (found == np.argsort(1 - x[:50] @ x.T, 1)[:, :5]).all()
+
+
+def test_links_are_chosen_as_one_by_one():
+    x = unit(40 * 30, 6, 51).reshape(40, 30, 6)
+    own = np.sort(np.random.default_rng(52).random((40, 30)), 1)
+    own[:20, 25:] = np.inf
+    apart = 1 - x @ x.transpose(0, 2, 1)
+    take = graph.diverse(own, lambda rows: apart[rows], 7)
+    for i in range(40):
+        chosen = []
+        for k in np.flatnonzero(np.isfinite(own[i])):
+            if len(chosen) < 7 and not any(apart[i, j, k] < own[i, k] for j in chosen):
+                chosen.append(k)
+        assert np.flatnonzero(take[i]).tolist() == chosen
