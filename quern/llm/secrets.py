@@ -57,6 +57,8 @@ ISSUED = (
 RULES = BASE + ISSUED
 #: Sets of exact strings grow by products up to this size; beyond, what is known so far becomes part of the query.
 EXACT = 64
+#: Bytes of text that get an index together, and trigrams that are looked up at once: a lookup takes some 20 bytes for each.
+SLICE, BLOCK = 2 << 20, 1 << 18
 
 # A query is True (every document), a trigram, ("and", ...) or ("or", ...).
 
@@ -156,15 +158,19 @@ class Scanner:
         text = np.frombuffer(b"\xff".join(docs).lower(), np.uint8)
         if len(text) < 3:
             return {}
-        code = text[:-2].astype(np.uint32)
-        code <<= 8
-        code |= text[1:-1]
-        code <<= 8
-        code |= text[2:]
-        at = np.flatnonzero(self.asked[code])
         starts = np.cumsum([0, *[len(d) + 1 for d in docs[:-1]]])
-        owner = np.searchsorted(starts, at, "right") - 1
-        pairs = np.unique(code[at].astype(np.int64) * len(docs) + owner)
+        found = []
+        for begin in range(0, len(text) - 2, BLOCK):
+            part = text[begin : begin + BLOCK + 2]
+            code = part[:-2].astype(np.uint32)
+            code <<= 8
+            code |= part[1:-1]
+            code <<= 8
+            code |= part[2:]
+            at = np.flatnonzero(self.asked[code])
+            owner = np.searchsorted(starts, begin + at, "right") - 1
+            found.append(np.unique(code[at].astype(np.int64) * len(docs) + owner))
+        pairs = np.unique(np.concatenate(found))
         which, cuts = np.unique(pairs // len(docs), return_index=True)
         return {self.codes[int(c)]: p % len(docs) for c, p in zip(which, np.split(pairs, cuts[1:]), strict=True)} if len(pairs) else {}
 
@@ -203,7 +209,7 @@ def find(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(rules)
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             found = scanner.scan(strings(b.column("text")))
             said = [[(k, f"{rules[k].kind}:{s}:{e}") for s, k, e in spans] for spans in found]
             counts = [pa.array([sum(k == j for _, k, _ in spans) for spans in found], pa.int64()) for j in range(3)]
@@ -230,7 +236,7 @@ def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(rules)
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             docs = strings(b.column("text"))
             done = [redact(t, s) for t, s in zip(docs, scanner.scan(docs), strict=True)]
             at = b.schema.get_field_index("text")

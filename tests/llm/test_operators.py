@@ -729,3 +729,18 @@ def test_local_alignment():
 
 def test_entry_words():
     assert re.fullmatch(r"op\d+_\w+", "op1_x") and len(entry.queries()) == 10
+
+
+def test_the_index_of_secrets_takes_a_few_times_its_text():
+    import tracemalloc
+
+    cut = secrets.BLOCK  # secrets on either side of where blocks end
+    docs = ["x" * (cut - 3) + " api_key = abcdef123456 ", "y" * (15 << 20), "", "z" * cut + "AKIA" + "Q7" * 10]
+    scanner = secrets.Scanner()
+    tracemalloc.start()
+    index = scanner.postings([d.encode() for d in docs])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(map(len, docs))
+    for t in scanner.wanted:
+        assert index.get(t, np.array([], int)).tolist() == [i for i, d in enumerate(docs) if t in d.lower()], t
