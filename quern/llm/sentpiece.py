@@ -14,9 +14,9 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,9 @@ from quern.llm.common import sliced, strings, texts
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 SPACE = "▁"
 #: Chunks that a worker remembers; beyond that it forgets those that the current batch lacks, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text that are cut, encoded and decoded together.
+SLICE = 1 << 20
 #: Lengths up to which chunks share a matrix of agendas.
 WIDTHS = (6, 10, 14, 20, 32)
 NONE = np.iinfo(np.int32).max
@@ -221,7 +223,9 @@ class Encoder:
 
         self.model = MergeModel(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, list[int]] = {}
+        #: Ids of each chunk as four bytes each: a list and its numbers would take several times as much.
+        self.known: dict[str, bytes] = {}
+        self.end = array("i", [self.model.end]).tobytes()
         self.said = [str(i) for i in range(self.library.get_piece_size())]
 
     def learn(self, new: list[str]) -> None:
@@ -230,7 +234,7 @@ class Encoder:
         for chunk, ids, check in zip(new, ours, theirs, strict=True):
             if ids != check and chunk != " ":
                 raise AssertionError(f"agenda and library differ on {chunk!r}: {ids} and {check}")
-            self.known[chunk] = ids
+            self.known[chunk] = array("i", ids).tobytes()
 
     def cut(self, docs: list[str]) -> list[list[str]]:
         cuts = [chunks(t) for t in docs]
@@ -242,22 +246,23 @@ class Encoder:
             self.learn(list(new))
         return cuts
 
-    def encode(self, docs: list[str]) -> list[list[int]]:
-        cuts, end = self.cut(docs), [self.model.end]
+    def ids(self, cut: list[str]) -> np.ndarray:
         known = self.known
-        return [[*chain.from_iterable([known[c] for c in one]), *end] for one in cuts]
+        return np.frombuffer(b"".join([*[known[c] for c in cut], self.end]), np.int32)
+
+    def encode(self, docs: list[str]) -> list[list[int]]:
+        return [self.ids(one).tolist() for one in self.cut(docs)]
 
     def digests(self, docs: list[str], keep: list[np.ndarray] | None = None) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text of each document; the ids themselves go to `keep`."""
-        cuts = self.cut(docs)
-        known, end, said = self.known, self.model.end, self.said
+        said = self.said
         n, a, b = [], [], []
-        for one in cuts:
-            ids = list(chain.from_iterable([known[c] for c in one]))
-            ids.append(end)
+        for one in self.cut(docs):
+            own = self.ids(one)
+            ids = own.tolist()
             n.append(len(ids))
             if keep is not None:
-                keep.append(np.array(ids, np.int32))
+                keep.append(own)
             a.append(hashlib.sha256(" ".join([said[i] for i in ids]).encode()).hexdigest())
             b.append(hashlib.sha256(self.library.decode(ids).encode()).hexdigest())
         return n, a, b
@@ -273,7 +278,7 @@ def encode(df: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         e = encoder(model)
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", SLICE):
             ids = pa.array(e.encode(strings(b.column("text"))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
@@ -297,7 +302,7 @@ def round_trip(df: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         e = encoder(model)
-        for b in sliced(batches, "text", 4 << 20):
+        for b in sliced(batches, "text", SLICE):
             n, a, c = e.digests(strings(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -312,7 +317,7 @@ def encoded(df: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         e = encoder(model)
-        for b in sliced(batches, "text", 4 << 20):
+        for b in sliced(batches, "text", SLICE):
             found: list[np.ndarray] = []
             n, a, c = e.digests(strings(b.column("text")), found)
             ids = pa.array(found, pa.list_(pa.int32()))

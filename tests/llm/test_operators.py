@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -532,6 +533,21 @@ def test_token_files(spark, docs, odd, none, tmp_path):
 # 7
 
 
+def test_an_encoder_remembers_chunks_in_little_memory():
+    """Ids as bytes; lists of numbers took more than 300 bytes a chunk."""
+    e = sentpiece.Encoder(PIECE)
+    e.encode(["warm up the tables"])
+    docs = [" ".join(f"q{i:05d}zk" for i in range(d, d + 1000)) for d in range(0, 20_000, 1000)]
+    tracemalloc.start()
+    got = [(e.encode([d])[0], len(e.known)) for d in docs]
+    expected = [[*x, 2] for x in e.library.encode(docs)]
+    assert [ids for ids, _ in got] == expected and got[-1][1] > 20_000
+    del got, expected
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held / len(e.known) < 280, held / len(e.known)
+
+
 def test_sentencepiece(spark, docs, odd, none):
     import sentencepiece
 
