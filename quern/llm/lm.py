@@ -38,6 +38,7 @@ HIDDEN, STEPS, STREAMS = 32, 32, 128
 WARM, PASSES, GROWTH, FAN = 600_000, 2, 16, 6
 RATES = (0.01, 0.005)  #: of the first words, at their beginning, and of all rounds
 EPSILON = 1e-7
+PIECE = 16_384  #: weights that a step of training moves at a time
 TOGETHER = 2_000_000  #: words that a task holds at a time, but for a longer document
 END, TAIL = 0, 1  #: classes; runs of words follow
 FINE = 4_096  #: counts below it are levels of their own
@@ -88,6 +89,23 @@ def classes_of(counts: np.ndarray, count: int = CLASSES) -> np.ndarray:
     return np.r_[0, 1 + new, len(counts)]
 
 
+def sums(rows: np.ndarray, first: np.ndarray, few: int = 12) -> np.ndarray:
+    """The sum of each run of rows, that begin at `first`: long runs one by one, the others side by side. reduceat takes several
+    times as long."""
+    size = np.diff(first, append=len(rows))
+    out = rows[first]
+    ones = np.ones(size.max(initial=0), rows.dtype)
+    for i in np.flatnonzero(size > few).tolist():
+        out[i] = ones[: size[i]] @ rows[first[i] : first[i] + size[i]]
+    left = np.flatnonzero((size > 1) & (size <= few))
+    for k in range(1, few):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        out[left] += rows[first[left] + k]
+    return out
+
+
 class Unit:
     """Gated recurrent unit from words to words; word len(counts) stands for all others."""
 
@@ -123,25 +141,24 @@ class Unit:
         if (ended := given == 0).any():
             h = h * ~ended[:, None]
         x = p["x"][given]
-        g = x[:, : 2 * k]
-        g += h @ p["u"]
+        g = h @ p["u"]
+        g += x[:, : 2 * k]
         sigmoid(g)
-        n = x[:, 2 * k :]
-        n += (g[:, k:] * h) @ p["n"]
+        n = (g[:, k:] * h) @ p["n"]
+        n += x[:, 2 * k :]
         np.tanh(n, out=n)
         n -= h
         n *= g[:, :k]
         n += h
         return n
 
-    def runs(self, klass: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """For each class of several words that occurs: where it does, and its first and last word."""
-        order = np.argsort(klass, kind="stable")
-        at = np.searchsorted(klass[order], np.arange(len(self.first) + 1))
-        for c in range(2, len(self.first)):
-            lo, hi = int(self.first[c - 1]), int(self.first[c])
-            if at[c] < at[c + 1] and hi - lo > 1:
-                yield order[at[c] : at[c + 1]], lo, hi
+    def sorted_runs(self, klass: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """Places by class, and for each class of several words that occurs its part of them and its first and last word."""
+        order = np.argsort(klass.astype(np.uint16), kind="stable")
+        at = np.searchsorted(klass[order], np.arange(len(self.first) + 1)).tolist()
+        first = self.first.tolist()
+        found = [(at[c], at[c + 1], first[c - 1], first[c]) for c in range(2, len(first)) if at[c] < at[c + 1] and first[c] - first[c - 1] > 1]
+        return order, found
 
     def scores(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each target."""
@@ -150,63 +167,78 @@ class Unit:
         z += p["b"]
         out = z[row, klass]
         out -= _log_sum(z)
-        for where, lo, hi in self.runs(klass):
-            z = states[where] @ p["w"][lo:hi].T
+        order, found = self.sorted_runs(klass)
+        if found:  # what lies before the first or after the last is of classes of one word
+            order = order[found[0][0] : found[-1][1]]
+        begin, held, word, more = found[0][0] if found else 0, states[order], target[order], np.zeros(len(order), out.dtype)
+        for a, b, lo, hi in found:
+            a, b = a - begin, b - begin
+            z = held[a:b] @ p["w"][lo:hi].T
             z += p["c"][lo:hi]
-            out[where] += z[row[: len(where)], target[where] - lo]
-            out[where] -= _log_sum(z)
+            np.subtract(z[row[: b - a], word[a:b] - lo], _log_sum(z), out=more[a:b])
+        out[order] += more
         return out
 
     def window(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray | None = None) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
         """Loss a word, last state and gradients of one window; given, target and weigh (0: no loss there): steps x streams."""
         k, p = self.hidden, self.p
         steps, streams = given.shape
-        alive = (given != 0).astype(np.float32)[:, :, None]
-        x = p["x"][given]
+        alive = (given != 0).astype(np.float32)
+        whole = alive.all(1).tolist()
+        # a column for each stream, so that every part of a step is one piece of memory
+        x = np.ascontiguousarray(p["x"][given].transpose(0, 2, 1))
+        from_u, from_n = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["n"].T)
+        h = np.ascontiguousarray(h.T)
         # of every step: the state that it begins with, cut off at ends, its gates, what reset leaves, the new part and its end
-        begun, gates, left, new, states = (np.empty((steps, streams, n * k), p["u"].dtype) for n in (1, 2, 1, 1, 1))
+        begun, gates, left, new, states = (np.empty((steps, n * k, streams), p["u"].dtype) for n in (1, 2, 1, 1, 1))
         for t in range(steps):
             h0 = np.multiply(h, alive[t], out=begun[t])
-            g = np.matmul(h0, p["u"], out=gates[t])
-            g += x[t, :, : 2 * k]
+            g = np.matmul(from_u, h0, out=gates[t])
+            g += x[t, : 2 * k]
             sigmoid(g)
-            rh = np.multiply(g[:, k:], h0, out=left[t])
-            n = np.matmul(rh, p["n"], out=new[t])
-            n += x[t, :, 2 * k :]
+            rh = np.multiply(g[k:], h0, out=left[t])
+            n = np.matmul(from_n, rh, out=new[t])
+            n += x[t, 2 * k :]
             np.tanh(n, out=n)
             h = np.subtract(n, h0, out=states[t])
-            h *= g[:, :k]
+            h *= g[:k]
             h += h0
-        h = h.copy()
+        h = h.T.copy()
         grad = {key: np.empty_like(v) if key in ("u", "n", "o", "b") else np.zeros_like(v) for key, v in p.items()}
-        loss, back = self.output(states.reshape(-1, k), target.ravel(), grad, None if weigh is None else weigh.ravel())
-        back = back.reshape(steps, streams, k)
+        loss, back = self.output(states.transpose(0, 2, 1).reshape(-1, k), target.ravel(), grad, None if weigh is None else weigh.ravel())
+        back = np.ascontiguousarray(back.reshape(steps, streams, k).transpose(0, 2, 1))
         # slopes that do not depend on those of later steps
-        z = gates[:, :, :k]
-        by_new, by_gate, stay = z * (1 - new * new), gates * (1 - gates), 1 - z
-        by_gate[:, :, :k] *= new - begun
-        by_gate[:, :, k:] *= begun
-        dh, to_u, to_n = np.zeros((streams, k), p["u"].dtype), np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["n"].T)
-        dx = np.empty((steps, streams, 3 * k), p["u"].dtype)
+        z = gates[:, :k]
+        by_new = new * new
+        np.subtract(1, by_new, out=by_new)
+        by_new *= z
+        stay = 1 - z
+        by_gate = 1 - gates
+        by_gate *= gates
+        new -= begun
+        by_gate[:, :k] *= new
+        by_gate[:, k:] *= begun
+        dh, dx = np.zeros((k, streams), p["u"].dtype), x  # whose values nothing reads again
         for t in range(steps - 1, -1, -1):
             dh += back[t]
-            dn = np.multiply(dh, by_new[t], out=dx[t, :, 2 * k :])
-            drh = dn @ to_n
-            dg = dx[t, :, : 2 * k]
-            np.multiply(dh, by_gate[t, :, :k], out=dg[:, :k])
-            np.multiply(drh, by_gate[t, :, k:], out=dg[:, k:])
+            dn = np.multiply(dh, by_new[t], out=dx[t, 2 * k :])
+            drh = p["n"] @ dn
+            dg = dx[t, : 2 * k]
+            np.multiply(dh, by_gate[t, :k], out=dg[:k])
+            np.multiply(drh, by_gate[t, k:], out=dg[k:])
             dh *= stay[t]
-            drh *= gates[t, :, k:]
+            drh *= gates[t, k:]
             dh += drh
-            dh += dg @ to_u
-            dh *= alive[t]
-        dx = dx.reshape(-1, 3 * k)
-        grad["n"][:] = left.reshape(-1, k).T @ dx[:, 2 * k :]
-        grad["u"][:] = begun.reshape(-1, k).T @ dx[:, : 2 * k]
-        order = np.argsort(given.ravel(), kind="stable")
+            dh += p["u"] @ dg
+            if not whole[t]:
+                dh *= alive[t]
+        dx = dx.transpose(0, 2, 1).reshape(-1, 3 * k)
+        grad["n"][:] = left.transpose(1, 0, 2).reshape(k, -1) @ dx[:, 2 * k :]
+        grad["u"][:] = begun.transpose(1, 0, 2).reshape(k, -1) @ dx[:, : 2 * k]
+        order = np.argsort(given.ravel().astype(np.uint16), kind="stable")
         sorted_ = given.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        grad["x"][sorted_[first]] = np.add.reduceat(dx[order], first)
+        grad["x"][sorted_[first]] = sums(dx[order], first)
         return loss, h, grad
 
     def output(self, states: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray], weigh: np.ndarray | None) -> tuple[float, np.ndarray]:
@@ -216,24 +248,30 @@ class Unit:
         z = states @ p["o"]
         z += p["b"]
         own = z[row, klass]
-        d, total = _soft(z)
-        loss = -float(((own - total) * share).sum())
-        d[row, klass] -= 1
-        d *= share[:, None]
-        grad["o"], grad["b"] = states.T @ d, d.sum(0)
+        d, total = _soft(z, share)
+        own -= total
+        loss = -float(own @ share)
+        d[row, klass] -= share
+        ones = np.ones(len(target), np.float32)
+        grad["o"], grad["b"] = states.T @ d, ones @ d
         back = d @ p["o"].T
-        for where, lo, hi in self.runs(klass):
-            s, w = states[where], p["w"][lo:hi]
+        order, found = self.sorted_runs(klass)
+        held, word, part = states[order], target[order], share[order]
+        more = np.zeros_like(held)
+        for a, b, lo, hi in found:
+            s, w = held[a:b], p["w"][lo:hi]
             z = s @ w.T
             z += p["c"][lo:hi]
-            at = (row[: len(where)], target[where] - lo)
+            at = (row[: b - a], word[a:b] - lo)
             own = z[at]
-            d, total = _soft(z)
-            loss -= float(((own - total) * share[where]).sum())
-            d[at] -= 1
-            d *= share[where, None]
-            grad["w"][lo:hi], grad["c"][lo:hi] = d.T @ s, d.sum(0)
-            back[where] += d @ w
+            d, total = _soft(z, part[a:b])
+            own -= total
+            loss -= float(own @ part[a:b])
+            d[at] -= part[a:b]
+            np.matmul(d.T, s, out=grad["w"][lo:hi])
+            np.matmul(ones[: b - a], d, out=grad["c"][lo:hi])
+            np.matmul(d, w, out=more[a:b])
+        back[order] += more
         return loss, back
 
     def log_likelihood(self, documents: list[np.ndarray], span: int = 64, most: int = 512) -> np.ndarray:
@@ -280,22 +318,22 @@ class Unit:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row."""
+    """Logarithm of the sum of exponentials of each row; z is used up."""
     if -60 < z.min(initial=0) and z.max(initial=0) < 60:  # far from what overflows
-        return np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
     top = z.max(1)
     return np.log(np.exp(z - top[:, None]).sum(1)) + top
 
 
-def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row, in its place, and the logarithm of its sum of exponentials."""
+def _soft(z: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row times its share, in its place, and the logarithm of its sum of exponentials."""
     top = 0.0
     if not (-60 < z.min(initial=0) and z.max(initial=0) < 60):
         top = z.max(1)
         z -= top[:, None]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
-    z /= total[:, None]
+    z *= (share / total)[:, None]
     return z, np.log(total) + top
 
 
@@ -355,20 +393,23 @@ class Learner:
         size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         self.done += 1
         pace = self.rate * float(weigh.sum()) / (STEPS * len(self.queue))  # what few streams are left with moves little
-        for key, g in grad.items():
-            m, v = self.m[key], self.v[key]
-            g *= min(1.0, 1.0 / (size + 1e-9)) * 0.1
-            m *= 0.9
-            m += g
-            g *= g  # a hundredth of the square
-            v *= 0.99
-            v += g
-            np.multiply(v, 1 / (1 - 0.99**self.done), out=g)
-            np.sqrt(g, out=g)
-            g += EPSILON
-            np.divide(m, g, out=g)
-            g *= pace / (1 - 0.9**self.done)
-            self.unit.p[key] -= g
+        clip, root, step = min(1.0, 1.0 / (size + 1e-9)) * 0.1, 1 / (1 - 0.99**self.done), pace / (1 - 0.9**self.done)
+        for key, all_g in grad.items():
+            flat = [x.reshape(-1) for x in (all_g, self.m[key], self.v[key], self.unit.p[key])]
+            for at in range(0, all_g.size, PIECE):  # so much stays in a core's cache
+                g, m, v, weights = (x[at : at + PIECE] for x in flat)
+                g *= clip
+                m *= 0.9
+                m += g
+                g *= g  # a hundredth of the square
+                v *= 0.99
+                v += g
+                np.multiply(v, root, out=g)
+                np.sqrt(g, out=g)
+                g += EPSILON
+                np.divide(m, g, out=g)
+                g *= step
+                weights -= g
         self.learned += int(weigh.sum())
         self.losses.append(loss)
         return h

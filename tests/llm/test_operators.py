@@ -276,6 +276,30 @@ def test_documents_are_scored_whole_with_their_state():
             assert np.allclose(u.log_likelihood(docs, span, most), want, atol=1e-4)
 
 
+def test_sums_of_runs_of_rows():
+    """Single rows, short and long runs, against one sum each."""
+    r = np.random.default_rng(0)
+    for sizes in ([1], [1, 2, 12, 13, 1, 40, 3, 11], [5] * 30, [500], []):
+        rows = r.normal(size=(sum(sizes), 6)).astype(np.float32)
+        first = np.r_[0, np.cumsum(sizes)[:-1]].astype(int) if sizes else np.zeros(0, int)
+        want = np.array([rows[a : a + n].astype(float).sum(0) for a, n in zip(first, sizes, strict=True)]).reshape(-1, 6)
+        assert np.allclose(lm.sums(rows, first), want, atol=1e-5)
+
+
+def test_weights_move_in_pieces_as_in_one(monkeypatch):
+    u = lm.Unit(np.array([9.0, *range(60, 0, -1)]), 5.0, hidden=8, classes=6)
+    r = np.random.default_rng(1)
+    block = r.integers(0, 62, (lm.STEPS, 4)).astype(np.int32)
+    got = []
+    for piece in (7, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        learner = lm.Learner(u.copy(), 0.01, lm.STEPS, streams=4)
+        for _ in range(3):
+            learner.update(np.zeros((4, 8), np.float32), block, np.roll(block, -1, 0), np.ones(block.shape, np.float32))
+        got.append(learner.unit.p)
+    assert all(np.array_equal(got[0][k], got[1][k]) and not np.array_equal(got[0][k], u.p[k]) for k in u.p)
+
+
 def test_all_documents_are_read_whole():
     u, r = lm.Unit(np.arange(20.0, 0, -1)), np.random.default_rng(4)
     docs = [np.append(r.integers(1, 21, n), 0).astype(np.int32) for n in r.integers(0, 400, 60)]
