@@ -106,6 +106,23 @@ def sums(rows: np.ndarray, first: np.ndarray, few: int = 12) -> np.ndarray:
     return out
 
 
+class Room:
+    """Arrays that every step fills anew. They are kept from step to step, as fresh memory costs more than what is done in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        """An array of any contents, which the next call by this name may hand out again."""
+        n, found = math.prod(shape), self.held.get(name)
+        if found is None or found.size < n or found.dtype != kind:
+            found = self.held[name] = np.empty(n, kind)
+        return found[:n].reshape(shape)
+
+    def __reduce__(self):
+        return Room, ()
+
+
 class Unit:
     """Gated recurrent unit from words to words; word len(counts) stands for all others."""
 
@@ -128,11 +145,11 @@ class Unit:
             "c": np.log(np.maximum(counts, 0.5)),
         }
         self.p = {key: v.astype(np.float32) for key, v in self.p.items()}
-        self.hidden = hidden
+        self.hidden, self.room = hidden, Room()
 
     def copy(self) -> Unit:
         other = object.__new__(Unit)
-        other.__dict__ = {**self.__dict__, "p": {k: v.copy() for k, v in self.p.items()}}
+        other.__dict__ = {**self.__dict__, "p": {k: v.copy() for k, v in self.p.items()}, "room": Room()}
         return other
 
     def step(self, h: np.ndarray, given: np.ndarray) -> np.ndarray:
@@ -179,18 +196,25 @@ class Unit:
         out[order] += more
         return out
 
-    def window(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray | None = None) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-        """Loss a word, last state and gradients of one window; given, target and weigh (0: no loss there): steps x streams."""
-        k, p = self.hidden, self.p
+    def window(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray | None = None, grad: dict[str, np.ndarray] | None = None) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+        """Loss a word, last state and gradients of one window; given, target and weigh (0: no loss there): steps x streams. grad:
+        gradients that may be written over."""
+        k, p, kind = self.hidden, self.p, self.p["u"].dtype
         steps, streams = given.shape
+
+        def room(name: str, *shape: int) -> np.ndarray:
+            return self.room(name, shape, kind)
+
         alive = (given != 0).astype(np.float32)
         whole = alive.all(1).tolist()
         # a column for each stream, so that every part of a step is one piece of memory
-        x = np.ascontiguousarray(p["x"][given].transpose(0, 2, 1))
+        rows = np.take(p["x"], given.ravel(), 0, out=room("rows", steps * streams, 3 * k), mode="clip")
+        x = room("x", steps, 3 * k, streams)
+        x[:] = rows.reshape(steps, streams, 3 * k).transpose(0, 2, 1)
         from_u, from_n = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["n"].T)
         h = np.ascontiguousarray(h.T)
         # of every step: the state that it begins with, cut off at ends, its gates, what reset leaves, the new part and its end
-        begun, gates, left, new, states = (np.empty((steps, n * k, streams), p["u"].dtype) for n in (1, 2, 1, 1, 1))
+        begun, gates, left, new, states = (room(name, steps, n * k, streams) for name, n in (("begun", 1), ("gates", 2), ("left", 1), ("new", 1), ("states", 1)))
         for t in range(steps):
             h0 = np.multiply(h, alive[t], out=begun[t])
             g = np.matmul(from_u, h0, out=gates[t])
@@ -204,16 +228,21 @@ class Unit:
             h *= g[:k]
             h += h0
         h = h.T.copy()
-        grad = {key: np.empty_like(v) if key in ("u", "n", "o", "b") else np.zeros_like(v) for key, v in p.items()}
-        loss, back = self.output(states.transpose(0, 2, 1).reshape(-1, k), target.ravel(), grad, None if weigh is None else weigh.ravel())
-        back = np.ascontiguousarray(back.reshape(steps, streams, k).transpose(0, 2, 1))
+        grad = {key: np.empty_like(v) for key, v in p.items()} if grad is None else grad
+        for key in ("x", "w", "c"):  # of which a window moves some
+            grad[key].fill(0)
+        wide = room("wide", steps, streams, k)
+        wide[:] = states.transpose(0, 2, 1)
+        loss, slopes = self.output(wide.reshape(-1, k), target.ravel(), grad, None if weigh is None else weigh.ravel())
+        back = states  # which nothing reads again
+        back[:] = slopes.reshape(steps, streams, k).transpose(0, 2, 1)
         # slopes that do not depend on those of later steps
         z = gates[:, :k]
-        by_new = new * new
+        by_new = np.multiply(new, new, out=room("by_new", steps, k, streams))
         np.subtract(1, by_new, out=by_new)
         by_new *= z
-        stay = 1 - z
-        by_gate = 1 - gates
+        stay = np.subtract(1, z, out=room("stay", steps, k, streams))
+        by_gate = np.subtract(1, gates, out=room("by_gate", steps, 2 * k, streams))
         by_gate *= gates
         new -= begun
         by_gate[:, :k] *= new
@@ -232,20 +261,22 @@ class Unit:
             dh += p["u"] @ dg
             if not whole[t]:
                 dh *= alive[t]
-        dx = dx.transpose(0, 2, 1).reshape(-1, 3 * k)
-        grad["n"][:] = left.transpose(1, 0, 2).reshape(k, -1) @ dx[:, 2 * k :]
-        grad["u"][:] = begun.transpose(1, 0, 2).reshape(k, -1) @ dx[:, : 2 * k]
+        rows.reshape(steps, streams, 3 * k)[:] = dx.transpose(0, 2, 1)
+        turned = room("turned", k, steps, streams)
+        for key, part, by in (("n", left, rows[:, 2 * k :]), ("u", begun, rows[:, : 2 * k])):
+            turned[:] = part.transpose(1, 0, 2)
+            np.matmul(turned.reshape(k, -1), by, out=grad[key])
         order = np.argsort(given.ravel().astype(np.uint16), kind="stable")
         sorted_ = given.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        grad["x"][sorted_[first]] = sums(dx[order], first)
+        grad["x"][sorted_[first]] = sums(np.take(rows, order, 0, out=room("sorted", *rows.shape), mode="clip"), first)
         return loss, h, grad
 
     def output(self, states: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray], weigh: np.ndarray | None) -> tuple[float, np.ndarray]:
         """Loss a word of both softmaxes, and its slope by the states; adds the slopes by the weights to grad."""
-        p, klass, row = self.p, self.klass[target], np.arange(len(target))
+        p, klass, row, room, kind = self.p, self.klass[target], np.arange(len(target)), self.room, self.p["o"].dtype
         share = np.full(len(target), 1 / len(target), np.float32) if weigh is None else (weigh / max(1e-9, weigh.sum())).astype(np.float32)
-        z = states @ p["o"]
+        z = np.matmul(states, p["o"], out=room("z", (len(states), p["o"].shape[1]), kind))
         z += p["b"]
         own = z[row, klass]
         d, total = _soft(z, share)
@@ -253,14 +284,16 @@ class Unit:
         loss = -float(own @ share)
         d[row, klass] -= share
         ones = np.ones(len(target), np.float32)
-        grad["o"], grad["b"] = states.T @ d, ones @ d
-        back = d @ p["o"].T
+        np.matmul(states.T, d, out=grad["o"])
+        np.matmul(ones, d, out=grad["b"])
+        back = np.matmul(d, p["o"].T, out=room("back", states.shape, kind))
         order, found = self.sorted_runs(klass)
-        held, word, part = states[order], target[order], share[order]
-        more = np.zeros_like(held)
+        held, word, part = np.take(states, order, 0, out=room("held", states.shape, kind), mode="clip"), target[order], share[order]
+        more = room("more", states.shape, kind)
+        more.fill(0)
         for a, b, lo, hi in found:
             s, w = held[a:b], p["w"][lo:hi]
-            z = s @ w.T
+            z = np.matmul(s, w.T, out=room("z", (b - a, hi - lo), kind))
             z += p["c"][lo:hi]
             at = (row[: b - a], word[a:b] - lo)
             own = z[at]
@@ -271,7 +304,8 @@ class Unit:
             np.matmul(d.T, s, out=grad["w"][lo:hi])
             np.matmul(ones[: b - a], d, out=grad["c"][lo:hi])
             np.matmul(d, w, out=more[a:b])
-        back[order] += more
+        more += np.take(back, order, 0, out=held, mode="clip")
+        back[order] = more
         return loss, back
 
     def log_likelihood(self, documents: list[np.ndarray], span: int = 64, most: int = 512) -> np.ndarray:
@@ -349,6 +383,7 @@ class Learner:
         self.last = np.zeros(streams, np.int32)
         self.m = {key: np.zeros_like(v) for key, v in unit.p.items()}
         self.v = {key: np.zeros_like(v) for key, v in unit.p.items()}
+        self.grad = {key: np.empty_like(v) for key, v in unit.p.items()}
         self.done, self.learned, self.losses = 0, 0, []
 
     def add(self, document: np.ndarray) -> None:
@@ -366,19 +401,18 @@ class Learner:
             self.read(live, self.stride)
 
     def read(self, live: np.ndarray, n: int) -> None:
-        block, weigh = np.zeros((n, len(live)), np.int32), np.zeros((n, len(live)), np.float32)
-        for j, s in enumerate(live.tolist()):
-            parts, got = [], 0
-            while got < n and self.queue[s]:
-                d = self.queue[s].popleft()
+        own, held = np.zeros((len(live), n), np.int32), np.minimum(self.held[live], n)
+        for row, s in zip(own, live.tolist(), strict=True):
+            queue, got = self.queue[s], 0
+            while got < n and queue:
+                d = queue.popleft()
                 if got + len(d) > n:
-                    self.queue[s].appendleft(d[n - got :])
+                    queue.appendleft(d[n - got :])
                     d = d[: n - got]
-                parts.append(d)
+                row[got : got + len(d)] = d
                 got += len(d)
-            block[:got, j] = np.concatenate(parts)
-            weigh[:got, j] = 1
-            self.held[s] -= got
+        self.held[live] -= held
+        block, weigh = own.T.copy(), (np.arange(n)[:, None] < held).astype(np.float32)
         given = np.concatenate([self.last[live][None], block[:-1]])
         h = self.h[live]
         used = int(weigh.any(1).sum())  # beyond, no stream has a word
@@ -389,7 +423,7 @@ class Learner:
         self.h[live], self.last[live] = h, block[used - 1]
 
     def update(self, h: np.ndarray, given: np.ndarray, target: np.ndarray, weigh: np.ndarray) -> np.ndarray:
-        loss, h, grad = self.unit.window(h, given, target, weigh)
+        loss, h, grad = self.unit.window(h, given, target, weigh, self.grad)
         size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         self.done += 1
         pace = self.rate * float(weigh.sum()) / (STEPS * len(self.queue))  # what few streams are left with moves little

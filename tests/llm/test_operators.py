@@ -300,6 +300,26 @@ def test_weights_move_in_pieces_as_in_one(monkeypatch):
     assert all(np.array_equal(got[0][k], got[1][k]) and not np.array_equal(got[0][k], u.p[k]) for k in u.p)
 
 
+def test_steps_of_training_work_in_the_same_memory():
+    """After the first steps, one asks for less than the gradients of the words alone take; what the arrays held before is lost."""
+    u, r = lm.Unit(np.arange(4_096.0, 0, -1)), np.random.default_rng(2)
+    learner = lm.Learner(u.copy(), 0.005, lm.STEPS, streams=128)
+    h, ones = np.zeros((128, u.hidden), np.float32), np.ones((lm.STEPS, 128), np.float32)
+    blocks = [r.integers(0, 4_097, (lm.STEPS, 128)).astype(np.int32) for _ in range(3)]
+    for b in blocks[:2]:
+        learner.update(h, b, np.roll(b, -1, 0), ones)
+    same = learner.unit.copy().window(h, blocks[2], np.roll(blocks[2], -1, 0), ones)
+    again = learner.unit.window(h, blocks[2], np.roll(blocks[2], -1, 0), ones, learner.grad)
+    assert same[0] == again[0] and all(np.array_equal(same[2][k], again[2][k]) for k in u.p)
+    tracemalloc.start()
+    try:
+        learner.update(h, blocks[2], np.roll(blocks[2], -1, 0), ones)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < u.p["x"].nbytes + u.p["w"].nbytes, peak
+
+
 def test_all_documents_are_read_whole():
     u, r = lm.Unit(np.arange(20.0, 0, -1)), np.random.default_rng(4)
     docs = [np.append(r.integers(1, 21, n), 0).astype(np.int32) for n in r.integers(0, 400, 60)]
