@@ -25,6 +25,7 @@ import math
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -272,6 +273,11 @@ class Unit:
         grad["x"][sorted_[first]] = sums(np.take(rows, order, 0, out=room("sorted", *rows.shape), mode="clip"), first)
         return loss, h, grad
 
+    def bound(self, states: np.ndarray) -> float:
+        """What no logit of these states, of classes or of words, is beyond on either side."""
+        p, most = self.p, max(float(states.max(initial=0)), -float(states.min(initial=0)))
+        return max(float((most * (np.ones(self.hidden, x.dtype) @ np.abs(x)) + np.abs(b)).max()) for x, b in ((p["o"], p["b"]), (p["w"].T, p["c"])))
+
     def output(self, states: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray], weigh: np.ndarray | None) -> tuple[float, np.ndarray]:
         """Loss a word of both softmaxes, and its slope by the states; adds the slopes by the weights to grad."""
         p, klass, row, room, kind = self.p, self.klass[target], np.arange(len(target)), self.room, self.p["o"].dtype
@@ -279,13 +285,14 @@ class Unit:
         z = np.matmul(states, p["o"], out=room("z", (len(states), p["o"].shape[1]), kind))
         z += p["b"]
         own = z[row, klass]
-        d, total = _soft(z, share)
+        near = self.bound(states) < 60
+        ones = np.ones(max(len(target), z.shape[1], int(np.diff(self.first).max())), kind)
+        d, total = _soft(z, share, ones, near)
         own -= total
         loss = -float(own @ share)
         d[row, klass] -= share
-        ones = np.ones(len(target), np.float32)
         np.matmul(states.T, d, out=grad["o"])
-        np.matmul(ones, d, out=grad["b"])
+        np.matmul(ones[: len(target)], d, out=grad["b"])
         back = np.matmul(d, p["o"].T, out=room("back", states.shape, kind))
         order, found = self.sorted_runs(klass)
         held, word, part = np.take(states, order, 0, out=room("held", states.shape, kind), mode="clip"), target[order], share[order]
@@ -297,7 +304,7 @@ class Unit:
             z += p["c"][lo:hi]
             at = (row[: b - a], word[a:b] - lo)
             own = z[at]
-            d, total = _soft(z, part[a:b])
+            d, total = _soft(z, part[a:b], ones, near)
             own -= total
             loss -= float(own @ part[a:b])
             d[at] -= part[a:b]
@@ -359,14 +366,15 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return np.log(np.exp(z - top[:, None]).sum(1)) + top
 
 
-def _soft(z: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row times its share, in its place, and the logarithm of its sum of exponentials."""
+def _soft(z: np.ndarray, share: np.ndarray, ones: np.ndarray, near: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row times its share, in its place, and the logarithm of its sum of exponentials. ones: as many as z has
+    columns, at least; near: all of z is known to be far from what overflows."""
     top = 0.0
-    if not (-60 < z.min(initial=0) and z.max(initial=0) < 60):
+    if not (near or -60 < z.min(initial=0) and z.max(initial=0) < 60):
         top = z.max(1)
         z -= top[:, None]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
+    total = z @ ones[: z.shape[1]]
     z *= (share / total)[:, None]
     return z, np.log(total) + top
 
@@ -511,7 +519,7 @@ def encoded(rows: DataFrame, model: Model) -> DataFrame:
             n, n_known, base, within, ids, tails = [], [], [], [], [], []
             for t in strings(b.column("text")):
                 w = words(t)
-                i = np.fromiter([get(x, -1) for x in w], np.int64, len(w))
+                i = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
                 i = np.append(i, 0)
                 n.append(len(i))
                 n_known.append(int((i >= 0).sum() if n_all else 0))

@@ -300,6 +300,25 @@ def test_weights_move_in_pieces_as_in_one(monkeypatch):
     assert all(np.array_equal(got[0][k], got[1][k]) and not np.array_equal(got[0][k], u.p[k]) for k in u.p)
 
 
+def test_logits_that_overflow_are_told_from_others():
+    """No logit is beyond its bound; where a class or a word has a large one, the loss is still that of its probability."""
+    r = np.random.default_rng(8)
+    given, target, h = r.integers(0, 10, (4, 3)), r.integers(0, 10, (4, 3)), r.normal(size=(3, 4))
+    for large in (0, 50, 900):
+        u = small_unit()
+        u.p["c"][3] += large
+        u.p["b"][2] -= large
+        states = r.normal(size=(50, 4))
+        most = max(np.abs(states @ u.p["o"] + u.p["b"]).max(), np.abs(states @ u.p["w"].T + u.p["c"]).max())
+        assert max(most, large - 10) <= u.bound(states) < 20 + large
+        state, total = h, 0.0
+        for now, after in zip(given, target, strict=True):
+            state = u.step(state, now)
+            total += u.scores(state, after).sum()
+        loss = u.window(h, given, target)[0]
+        assert loss == pytest.approx(-total / given.size, rel=1e-5)
+
+
 def test_steps_of_training_work_in_the_same_memory():
     """After the first steps, one asks for less than the gradients of the words alone take; what the arrays held before is lost."""
     u, r = lm.Unit(np.arange(4_096.0, 0, -1)), np.random.default_rng(2)
